@@ -164,7 +164,7 @@ def encode(df: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_c
                     if not digests:
                         out[1].append(np.frombuffer(ids, "<u4").astype(np.int32))
                         continue
-                    for x in set(coded) - shown.keys():
+                    for x in {x for x in coded if x not in shown}:
                         shown[x] = " ".join(pieces[np.frombuffer(x, "<u4")])
                     text_out = " ".join([shown[x] for x in coded if x])
                     out[1].append(len(ids) // 4)

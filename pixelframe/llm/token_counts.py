@@ -72,7 +72,7 @@ class PieceLengths:
         if len(self.known) + len(new) > CACHE_ENTRIES:
             self.known = {p: self.known[p] for p in pieces if p in self.known}
         stems = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()}
-        to_encode = list(({p for p in new if p not in stems} | set(stems.values())) - self.known.keys())
+        to_encode = [p for p in {stems.get(p, p) for p in new} if p not in self.known]
         for i in range(0, len(to_encode), 4096):
             part = to_encode[i : i + 4096]
             self.known.update(zip(part, (len(e) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
