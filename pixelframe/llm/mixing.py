@@ -134,7 +134,7 @@ WITH d AS (
   FROM s WINDOW before AS (ORDER BY 3 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
                 after AS (ORDER BY 3 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ), level AS (
-  SELECT min((total - capped)::DOUBLE / left_w) AS l FROM o WHERE 3 * source_size / w >= (total - capped)::DOUBLE / left_w
+  SELECT arg_min((total - capped)::DOUBLE / left_w, 3 * source_size / w) AS l FROM o WHERE 3 * source_size / w >= (total - capped)::DOUBLE / left_w
 ), t AS (
   SELECT source, source_size, least(w * l, 3.0::DOUBLE * source_size) AS target,
          CASE WHEN source_size > 0 THEN floor(least(w * l, 3.0::DOUBLE * source_size) / source_size) ELSE 0 END AS sure

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import bpe, token_counts
+from pixelframe.llm import bpe, language, minhash, mixing, quality, sharding, token_counts, topk
 from pixelframe.llm.common import table
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 64 << 20
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -21,14 +24,44 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digests=True)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 5)
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates: three-word shingles, similarity of 0.85 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of at most SHARD_BYTES."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on texts and verdicts on their hosts."""
+    return quality.report(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole texts, learned from the rows that are not held out."""
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of whole texts."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' target weights."""
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op9_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op2_topk, op3_minhash, op4_sharding, op5_quality, op7_language, op9_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk": topk.oracle(5), "op4_sharding": sharding.oracle(SHARD_BYTES), "op5_quality": quality.oracle(), "op10_mixing": mixing.ORACLE}
