@@ -4,8 +4,8 @@ Words are runs of `[^\x20\x09-\x0D]` of the text with A-Z in lower case; a text'
 distinct shingles. Texts whose sets are equal form a class, so copies are compared once however many they are.
 
 1. `signed`: each row's set size, set digest, MinHash signature and packed text, written once.
-2. Banding: classes that agree in ROWS successive minima meet in a bucket. At a similarity of 0.85 a pair misses all BANDS
-   buckets with probability (1 - 0.85^ROWS)^BANDS, below 1e-6.
+2. Banding: classes that agree in a few successive minima meet in a bucket. Bands are as many as it takes for a pair at
+   the threshold t to miss all buckets with a probability (1 - t^rows)^bands of at most MISS.
 3. Candidates of a bucket: all pairs if it has at most SMALL classes. In a larger one every class meets one leader, the
    class that shares the most bucket places with others.
 4. Verification: one byte of each minimum is compared in batches; after each batch a pair goes if the posterior
@@ -40,8 +40,7 @@ from pyspark.sql import types as T
 from pixelframe.llm.common import by_bytes, written
 from pixelframe.llm.components import components
 
-BANDS, ROWS, HASHES = 25, 5, 128
-BATCH = 32
+HASHES, BATCH = 128, 32
 MISS = 1e-6
 SMALL, BLOCK = 8, 256
 SLICE_BYTES = 2 << 20
@@ -54,6 +53,15 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return r.integers(1 << 63, size=HASHES, dtype=np.uint64) * 2 + 1, r.integers(1 << 63, size=HASHES, dtype=np.uint64)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows whose bands fit the signature."""
+    for rows in range(16, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+        if bands * rows <= HASHES:
+            return bands, rows
+    return HASHES, 1
+
+
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes."""
     import xxhash
@@ -107,10 +115,11 @@ def survives(a: np.ndarray, b: np.ndarray, needed: list[tuple[int, int]]) -> np.
     return left
 
 
-def signed(df: DataFrame, id_col: str, text_col: str, width: int, carry: list[str]) -> DataFrame:
+def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, carry: list[str]) -> DataFrame:
     """(rid, id, n, d1, d2, bands, mini, packed, rest) of every row, written. rid tells rows apart; rest has the columns
     to carry along."""
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.struct(F.lit(True).alias("__row"), *[df[c] for c in carry]).alias("rest"))
+    n_bands, n_rows = banding(percent)
     id_type, rest_type = src.schema["id"].dataType, src.schema["rest"].dataType
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +136,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, width: int, carry: list[st
                 if len(s):
                     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                     low = signature(s, a, b)
-                    bands = [xxhash.xxh3_64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+                    bands = [xxhash.xxh3_64_intdigest(low[i * n_rows : (i + 1) * n_rows].tobytes(), i) - (1 << 63) for i in range(n_bands)]
                     got = (rid, len(s), int(d[0]), int(d[1]), bands, low.astype(np.uint8).tobytes(), pack(text))
                 else:
                     got = (rid, 0, None, None, None, None, None if text is None else pack(text))
@@ -223,7 +232,7 @@ def _across(weighed: DataFrame, minis: DataFrame, roots: DataFrame, percent: int
         stray = rows.column("stray").to_numpy()
         c, root = (rows.column(x).to_numpy() for x in ("c", "root"))
         mini = np.frombuffer(b"".join(rows.column("mini").to_pylist()), np.uint8).reshape(-1, HASHES)
-        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
         at = int(np.nonzero(bands[0] == rows.column("key")[0].as_py())[0][0])
         i, j = np.nonzero(stray[:, None] & ~stray[None, :] & (root[:, None] != root[None, :]))
         first = ~(bands[i, :at] == bands[j, :at]).any(1)  # pairs are looked at in the first bucket they share
@@ -271,7 +280,7 @@ def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: the id, n_shingles, component_id, kept."""
-    out = _grouped(signed(df, id_col, text_col, width, []), width, percent)
+    out = _grouped(signed(df, id_col, text_col, width, percent, []), width, percent)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
@@ -279,7 +288,7 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """One row of each component, with the columns of df: of the rows with the smallest id the one read first. Rows with
     the empty set all stay."""
     rest = [c for c in df.columns if c not in (id_col, text_col)]
-    rows = signed(df, id_col, text_col, width, rest)
+    rows = signed(df, id_col, text_col, width, percent, rest)
     got = _grouped(rows, width, percent).where("kept")
     stay = got.groupBy("root").agg(F.min("rid").alias("rid")).where("root is not null").select("rid").unionByName(got.where("root is null").select("rid"))
     kept = rows.select("rid", "id", "packed", "rest").join(stay.hint("merge"), "rid")

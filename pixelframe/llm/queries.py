@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import bpe, language, minhash, mixing, quality, sharding, token_counts, topk
+from pixelframe.llm import bpe, html_text, language, licenses, minhash, mixing, quality, sharding, token_counts, topk
 from pixelframe.llm.common import table
 
 #: Bytes of text in a shard.
@@ -44,11 +44,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts that are known licences."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of whole texts, learned from the rows that are not held out."""
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of whole texts."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -60,8 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_topk, op3_minhash, op4_sharding, op5_quality, op7_language, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (
+        op1_bpe, op2_topk, op3_minhash, op4_sharding, op5_quality, op6_licenses, op7_language, op8_html, op9_token_counts, op10_mixing,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.oracle(5), "op4_sharding": sharding.oracle(SHARD_BYTES), "op5_quality": quality.oracle(), "op10_mixing": mixing.ORACLE}
+    return {"op2_topk": topk.oracle(5), "op4_sharding": sharding.oracle(SHARD_BYTES), "op5_quality": quality.oracle(), "op6_licenses": licenses.oracle(), "op10_mixing": mixing.ORACLE}
