@@ -1,21 +1,22 @@
 """BPE encoding and decoding over a table of distinct words.
 
-A word is a maximal run without ASCII white space. The tokenizer drops white space and never merges across it, so a text's
-ids are its words' ids one after another. The steps:
+A word is a run without ASCII white space, less one full stop or comma that follows an ASCII letter at its end (that is a
+word of its own), with A-Z in lower case. The tokenizer drops white space, never merges across it or between a letter and
+punctuation, and lowers case itself, so a text's ids are its words' ids one after another. The steps:
 
-1. `blocks`: rows are gathered, in the order they are read, into blocks of about BLOCK_BYTES of text. A block yields each
-   of its distinct words once (block, word), which is the pre-aggregation that keeps a frequent word from being hot: it
-   has one row per block, not one per occurrence.
-2. `word_table`: the (block, word) rows meet by word; each distinct word is encoded once by the tokenizers library, and
-   its ids go back to every block that has it.
-3. `assemble`: a block meets its words' ids, and the ids are put back by position in each text.
+1. `block_words`: rows are gathered, in the order they are read, into blocks of about BLOCK_BYTES of text. A block yields
+   each of its distinct words once, with its place in the block's list of words. This pre-aggregation keeps a frequent word
+   from being hot: it has one row per block, not one per occurrence.
+2. `word_table`: the rows meet by word; each distinct word is encoded once by the tokenizers library, and its ids go back
+   to the places of every block that has it (the word itself stays behind).
+3. `encode`: a block's texts meet the ids of its words, and the ids are put back by position in each text.
 
 Decoding joins ids with the id-to-piece table (its size is the vocabulary's, so it is bounded) and puts the pieces
 together in order, as the tokenizer's decode() does for a file without a decoder: pieces joined by one space.
 
-Blocks carry a number made of the partition and a counter. Both readers of a block see the same rows as long as Spark
-reads a partition in the same order twice, which holds for files; a word missing from a block's dictionary, after an
-input that changes its order, is encoded on the spot, so results don't depend on that.
+A block's key is a hash of its texts and place, so that a block read twice in different orders (Spark promises none for
+inputs that are not files) does not meet another block's words; a block that meets none of its own encodes its words
+itself, so results don't depend on that.
 
 Defined results: null text is empty (no ids, empty decoded text); repeated rows give repeated rows; an empty table gives
 an empty table; other columns are ignored.
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from pixelframe.llm.common import by_bytes
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 48 << 20
 SLICE_BYTES = 4 << 20
 _tokenizers: dict = {}
 
@@ -64,50 +65,73 @@ def pieces_of(path: str) -> list[str]:
 
 
 def encode_words(path: str, words: list[bytes]) -> list[bytes]:
-    """Ids of each word as little-endian unsigned 32-bit integers."""
+    """Ids of each word as little-endian unsigned integers, of 16 bits if the vocabulary fits."""
     t, out = tokenizer_of(path), []
+    kind = id_kind(path)
     for i in range(0, len(words), 4096):
-        out += [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)]
+        out += [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)]
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices of rows with the number of their block."""
-    part, k, size = TaskContext.get().partitionId(), 0, 0
+def id_kind(path: str) -> str:
+    return "<u2" if tokenizer_of(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def parts_of(run: bytes) -> tuple[bytes, ...]:
+    """The words of a run without white space. Added tokens are told apart by case, so a run that may hold one keeps it."""
+    if len(run) > 1 and run[-1] in b".," and (run[-2] | 32) in b"abcdefghijklmnopqrstuvwxyz":
+        return (run[:-1] if b"<|" in run else run[:-1].lower()), run[-1:]
+    return (run if b"<|" in run else run.lower(),)
+
+
+def words_of(runs: dict[bytes, None]) -> list[bytes]:
+    """A block's distinct words in the order in which its distinct runs first have them."""
+    return list(dict.fromkeys(w for r in runs for w in parts_of(r)))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The partition's rows in blocks: (key, slices)."""
+    import xxhash
+
+    part, k, size, held, seen = TaskContext.get().partitionId(), 0, 0, [], xxhash.xxh3_64()
     for batch in by_bytes(batches, "__text", SLICE_BYTES):
+        held.append(batch)
+        size += batch.column("__text").nbytes
+        for text in batch.column("__text").cast(pa.binary()):
+            seen.update(text.as_buffer() if text.is_valid else b"\xff")
         if size >= BLOCK_BYTES:
-            k, size = k + 1, 0
-        size += batch.column("__text").nbytes + 1
-        yield (part << 32) + k, batch
+            seen.update(f"{part} {k}")
+            yield seen.intdigest() - (1 << 63), held
+            k, size, held, seen = k + 1, 0, [], xxhash.xxh3_64()
+    if held:
+        seen.update(f"{part} {k}")
+        yield seen.intdigest() - (1 << 63), held
+
+
+def _runs(batches: list[pa.RecordBatch]) -> dict[bytes, None]:
+    out: dict[bytes, None] = {}
+    for batch in batches:
+        for text in batch.column("__text").cast(pa.binary()).to_pylist():
+            if text:
+                out.update(dict.fromkeys(text.split()))
+    return out
 
 
 def block_words(src: DataFrame) -> DataFrame:
-    """(block, word): each distinct word of each block once."""
+    """(block, place, word): each distinct word of each block once."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(block: int, seen: set[bytes]) -> Iterator[pa.RecordBatch]:
-            got = list(seen)
+        for block, held in _blocks(batches):
+            got = words_of(_runs(held))
             for i in range(0, len(got), 50_000):
                 part = got[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.binary())], ["block", "word"])
-
-        seen, at = set(), -1
-        for block, batch in _blocks(batches):
-            if block != at and seen:
-                yield from out(at, seen)
-                seen = set()
-            at = block
-            for text in batch.column("__text").cast(pa.binary()).to_pylist():
-                if text:
-                    seen.update(text.split())
-        if seen:
-            yield from out(at, seen)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.binary())], ["block", "place", "word"])
 
-    return src.select("__text").mapInArrow(words, "block long, word binary")
+    return src.mapInArrow(words, "block long, place int, word binary")
 
 
-def word_table(pairs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """(block, word, ids): rows of a word meet in one partition and stand together, and the word is encoded once for all of them."""
+def word_table(places: DataFrame, tokenizer_file: str) -> DataFrame:
+    """(block, place, ids): rows of a word meet in one partition and stand together, and the word is encoded once for all of them."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_ids = None, b""
@@ -120,23 +144,24 @@ def word_table(pairs: DataFrame, tokenizer_file: str) -> DataFrame:
                 ids = encode_words(tokenizer_file, words)
             if words:
                 last, last_ids = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("word"), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "place", "ids"])
 
-    return pairs.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, word binary, ids binary")
+    return places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, place int, ids binary")
 
 
 def block_texts(src: DataFrame) -> DataFrame:
-    """(block, rows): a block's ids and texts as compressed Arrow slices, which are small to move."""
+    """(block, nth, rows): a block's ids and texts as compressed Arrow slices, which are small to move."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-        for block, batch in _blocks(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
-                w.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
+        for block, held in _blocks(batches):
+            for nth, batch in enumerate(held):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
+                    w.write_batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([nth], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "nth", "rows"])
 
-    return src.mapInArrow(pack, "block long, rows binary")
+    return src.mapInArrow(pack, "block long, nth int, rows binary")
 
 
 def encode(df: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -145,39 +170,44 @@ def encode(df: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_c
     src = df.select(df[id_col].alias("__id"), df[text_col].alias("__text"))
     id_type = src.schema["__id"].dataType.simpleString()
     fields = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>"]
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "ids"]
+    kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32())]
+
+    def assemble(texts: pa.Table, coded: pa.Table) -> pa.Table:
+        order = np.argsort(texts.column("nth").to_numpy())
+        held = [batch for k in order for batch in pa.ipc.open_stream(texts.column("rows")[int(k)].as_buffer())]
+        if not held:
+            return pa.table([pa.array([], k) for k in [pa.int64(), *kinds]], names=names)
+        runs = _runs(held)
+        words = words_of(runs)
+        if coded.num_rows == len(words):
+            ids = coded.column("ids").combine_chunks().take(pa.array(np.argsort(coded.column("place").to_numpy()))).to_pylist()
+        else:
+            ids = encode_words(tokenizer_file, words)
+        book = dict(zip(words, ids, strict=True))
+        narrow = id_kind(tokenizer_file)
+        wide = {r: np.frombuffer(b"".join([book[w] for w in parts_of(r)]), narrow).astype("<u4") for r in runs}
+        del book, words, ids
+        shown = {}
+        if digests:
+            pieces = np.array(pieces_of(tokenizer_file), dtype=object)
+            shown = {r: " ".join(pieces[x]) for r, x in wide.items()}
+        wide = {r: x.tobytes() for r, x in wide.items()}
+        del runs
+        out: list[list] = [[] for _ in kinds]
+        for batch in held:
+            for text in batch.column("__text").cast(pa.binary()).to_pylist():
+                parts = text.split() if text else []
+                got = b"".join([wide[r] for r in parts])
+                if not digests:
+                    out[0].append(np.frombuffer(got, "<u4").astype(np.int32))
+                    continue
+                out[0].append(len(got) // 4)
+                out[1].append(hashlib.sha256(got).hexdigest())
+                out[2].append(hashlib.sha256(" ".join([x for r in parts if (x := shown[r])]).encode()).hexdigest())
+        ids_back = pa.chunked_array([b.column("__id") for b in held])
+        return pa.table([ids_back, *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=names)
 
-    def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-        book = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
-        del words
-        pieces = np.array(pieces_of(tokenizer_file), dtype=object) if digests else None
-        shown: dict[bytes, str] = {}
-        out: list[list] = [[], [], [], []]
-        for packed in texts.column("rows"):
-            for batch in pa.ipc.open_stream(packed.as_buffer()):
-                out[0] += batch.column("__id").to_pylist()
-                for text in batch.column("__text").cast(pa.binary()).to_pylist():
-                    parts = text.split() if text else []
-                    if missing := [w for w in set(parts) if w not in book]:
-                        book.update(zip(missing, encode_words(tokenizer_file, missing), strict=True))
-                    coded = [book[w] for w in parts]
-                    ids = b"".join(coded)
-                    if not digests:
-                        out[1].append(np.frombuffer(ids, "<u4").astype(np.int32))
-                        continue
-                    for x in {x for x in coded if x not in shown}:
-                        shown[x] = " ".join(pieces[np.frombuffer(x, "<u4")])
-                    text_out = " ".join([shown[x] for x in coded if x])
-                    out[1].append(len(ids) // 4)
-                    out[2].append(hashlib.sha256(ids).hexdigest())
-                    out[3].append(hashlib.sha256(text_out.encode()).hexdigest())
-        kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32())]
-        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "ids"]
-        ids_back = pa.array(out[0], _id_kind)
-        return pa.table([ids_back, *(pa.array(x, k) for x, k in zip(out[1:], kinds, strict=False))], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    _id_kind = to_arrow_type(src.schema["__id"].dataType)
     coded = word_table(block_words(src), tokenizer_file)
     got = block_texts(src).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, f"id {id_type}, " + ", ".join(fields))
     return got.withColumnRenamed("id", id_col)
