@@ -1,15 +1,146 @@
-"""The registry of queries and their SQL."""
+"""The registry of queries and their SQL.
+
+Each entry of `_entries` is (name, query, SQL after the fixtures' WITH clause, or None where SQL cannot say it).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelframe.functions import pixel as P
+from pixelframe.operators import convolve, histogram, kmeans, morphology, watershed
+from pixelframe.plans import fixtures
+from pixelframe.plans.fixtures import SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+KEYS = ["image_id"]
+THRESHOLD, K, ROUNDS = 100, 3, 5
+SHARP = [[0, -1, 0], [-1, 5, -1], [0, -1, 0]]
+
+_HIST = "h AS (SELECT g.image_id, l.v::INT AS v, count(p.v) AS n FROM (SELECT DISTINCT image_id FROM {t}) g CROSS JOIN range(256) l(v) LEFT JOIN {t} p ON p.image_id = g.image_id AND p.v = l.v GROUP BY ALL)"
+_CUTS = """c AS (SELECT *, sum(n) OVER up AS n1, sum(v * n) OVER up AS s1, sum(n) OVER everything AS nt, sum(v * n) OVER everything AS st FROM h
+ WINDOW up AS (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING), everything AS (PARTITION BY image_id)),
+var AS (SELECT image_id, v, n1, nt - n1 AS n2, n1::DOUBLE * (nt - n1)::DOUBLE * ((s1::DOUBLE / n1 - (st - s1)::DOUBLE / (nt - n1)) * (s1::DOUBLE / n1 - (st - s1)::DOUBLE / (nt - n1))) AS variance
+ FROM c WHERE n1 > 0 AND nt - n1 > 0),
+t AS (SELECT i.image_id, coalesce(b.v, 0)::INT AS threshold FROM (SELECT DISTINCT image_id FROM h) i
+ LEFT JOIN (SELECT image_id, v FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY variance DESC, v) AS k FROM var) WHERE k = 1) b USING (image_id))"""
+
+
+def _with(*more: str, then: str) -> str:
+    return f"WITH {SQL}, " + ", ".join(more) + f" {then}" if more else f"WITH {SQL} {then}"
+
+
+def _conv_sql(kernel: list[list[float]], table: str = "gray") -> str:
+    """The convolution as a sum over the taps' joins."""
+    taps = ", ".join(f"({i}, {j}, {float(k)}::DOUBLE)" for i, row in enumerate(kernel) for j, k in enumerate(row) if k)
+    return f"g AS (SELECT a.image_id, a.y, a.x, sum(coalesce(b.v, 0) * k.k) AS g FROM {table} a CROSS JOIN (VALUES {taps}) k(dy, dx, k) LEFT JOIN {table} b ON b.image_id = a.image_id AND b.y = a.y + k.dy AND b.x = a.x + k.dx GROUP BY ALL)"
+
+
+def _kmeans_sql(rounds: int, mean: str = "double") -> str:
+    """Centroids m0, m1, … and the assignments a1, a2, … between them."""
+    out = [f"n AS (SELECT count(*) AS n FROM rgb), m0 AS (SELECT (i // (n // {K}))::INT AS cluster, x::DOUBLE AS x, y::DOUBLE AS y, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM rgb, n WHERE i IN (SELECT j * (n // {K}) FROM range({K}) t(j)))"]
+    for t in range(1, rounds + 1):
+        d = "(p.r - m.r) * (p.r - m.r) + (p.b - m.b) * (p.b - m.b) + (p.g - m.g) * (p.g - m.g)"
+        out.append(f"a{t} AS (SELECT i, any_value(p.x) AS x, any_value(p.y) AS y, any_value(p.r) AS r, any_value(p.g) AS g, any_value(p.b) AS b, (min({{'d': {d}, 'c': m.cluster}})).c AS cluster FROM rgb p, m{t - 1} m GROUP BY i)")
+        div = (lambda c: f"(coalesce(sum(a.{c}), 0) // greatest(count(a.i), 1))::DOUBLE AS {c}") if mean == "int" else (lambda c: f"coalesce(sum(a.{c}), 0)::DOUBLE / greatest(count(a.i), 1) AS {c}")
+        out.append(f"m{t} AS (SELECT m.cluster, {', '.join(div(c) for c in 'xyrgb')} FROM m{t - 1} m LEFT JOIN a{t} a ON a.cluster = m.cluster GROUP BY m.cluster)")
+    return ", ".join(out)
+
+
+def _kmeans(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS, mean: str = "double") -> tuple[DataFrame, kmeans.Result]:
+    px = fixtures.rgb(spark, sf_dir)
+    return px, kmeans.k_means(px, K, rounds, order="i", mean=mean)
+
+
+def _edge(px: DataFrame, **options) -> DataFrame:
+    return convolve.edges(px, KEYS, **options)
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return morphology.connected_components(fixtures.mask(s, d), KEYS)
+
+
+def _edt(s: SparkSession, d: str) -> DataFrame:
+    return morphology.distance_transform(fixtures.mask(s, d), KEYS)
+
+
+def _flood(s: SparkSession, d: str) -> DataFrame:
+    px = fixtures.batch(s, d)
+    seeds = F.when((F.col("y") == 1) & (F.col("x") == 1), 1).when((F.col("y") == 6) & (F.col("x") == 6), 2).otherwise(0)
+    return watershed.flood(px.withColumn("marker", seeds), KEYS, "v")
+
+
+def _pipeline(s: SparkSession, d: str) -> DataFrame:
+    px = fixtures.batch(s, d)
+    return watershed.pipeline(px.select("image_id", "y", "x", F.col("v").alias("r"), F.col("v").alias("g"), F.col("v").alias("b")), KEYS, smooth=False, min_distance=2)
+
+
+_DIST = """d AS (SELECT a.image_id, a.y, a.x, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2
+ FROM mask a LEFT JOIN mask b ON a.image_id = b.image_id AND b.v = 0 GROUP BY ALL),
+e AS (SELECT image_id, y, x, d2::BIGINT AS d2, sqrt(d2::DOUBLE) AS dist FROM d)"""
+_TOP = "top AS (SELECT a.image_id, a.y, a.x, any_value(a.{c}) AS {c}, max(b.{c}) AS top FROM {t} a JOIN {t} b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY a.image_id, a.y, a.x)"
+_PARTS = """RECURSIVE_r AS (SELECT image_id, y, x, y * 8 + x AS f FROM mask WHERE v <> 0
+ UNION SELECT m.image_id, m.y, m.x, r.f FROM RECURSIVE_r r JOIN mask m ON m.image_id = r.image_id AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1 AND m.v <> 0 AND r.f < m.y * 8 + m.x),
+l AS (SELECT image_id, y, x, (dense_rank() OVER (PARTITION BY image_id ORDER BY f))::INT AS label FROM (SELECT image_id, y, x, min(f) AS f FROM RECURSIVE_r GROUP BY ALL))"""
+
+
+def _parts_sql(then: str) -> str:
+    return f"WITH RECURSIVE {SQL}, {_PARTS} {then}"
+
+
+def _entries() -> list[tuple[str, Query, str | None]]:
+    f, h, e = fixtures, histogram, F.col
+    hist, batch_hist = _HIST.format(t="gray"), _HIST.format(t="batch")
+    row = ("image_id", "y", "x")
+    place = "image_id, y, x"
+    return [
+        ("threshold_fixed", lambda s, d: f.gray(s, d).select(*row, P.threshold(e("v"), THRESHOLD).alias("bw")), _with(then=f"SELECT {place}, CASE WHEN v > {THRESHOLD} THEN 255 ELSE 0 END AS bw FROM gray")),
+        ("gray_from_rgb", lambda s, d: f.rgb(s, d).select(*row, P.gray(e("r"), e("g"), e("b")).alias("v")), _with(then=f"SELECT {place}, (77 * r + 150 * g + 29 * b) >> 8 AS v FROM rgb")),
+        ("gray_from_rgb_float", lambda s, d: f.rgb(s, d).select(*row, P.gray_float(e("r"), e("g"), e("b")).alias("v")), _with(then=f"SELECT {place}, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)::INT AS v FROM rgb")),
+        ("channels_convert", lambda s, d: f.gray(s, d).select(*row, *[c.alias(n) for c, n in zip(P.channels(1, 4, [e("v")]), "rgba", strict=True)]), _with(then=f"SELECT {place}, v AS r, v AS g, v AS b, 255 AS a FROM gray")),
+        ("depth_convert", lambda s, d: f.gray(s, d).select(*row, P.to_16_bit(e("v")).alias("v16"), P.to_8_bit(P.to_16_bit(e("v"))).alias("v8")), _with(then=f"SELECT {place}, v * 257 AS v16, (v * 257) >> 8 AS v8 FROM gray")),
+        ("flip_vertical", lambda s, d: f.batch(s, d).join(F.broadcast(f.batch(s, d).agg(F.max("y").alias("last"))), how="cross").select("image_id", (e("last") - e("y")).alias("y"), "x", "v"), _with(then="SELECT image_id, (SELECT max(y) FROM batch) - y AS y, x, v FROM batch")),
+        ("color_distance", lambda s, d: f.rgb(s, d).select(*row, P.color_distance(e("r"), e("g"), e("b"), (10, 20, 30)).alias("d2"), P.spatial_distance(e("x"), e("y"), (50, 50)).alias("s2")), _with(then=f"SELECT {place}, (r - 10) * (r - 10) + (b - 30) * (b - 30) + (g - 20) * (g - 20) AS d2, (x - 50) * (x - 50) + (y - 50) * (y - 50) AS s2 FROM rgb")),
+        ("histogram_256", lambda s, d: h.histogram(f.gray(s, d), KEYS), _with(hist, then="SELECT * FROM h")),
+        ("histogram_weighted", lambda s, d: h.weighted(h.histogram(f.gray(s, d), KEYS)).groupBy("image_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), _with(hist, then="SELECT image_id, sum(n)::BIGINT AS n, sum(v * n)::BIGINT AS s FROM h GROUP BY image_id")),
+        ("cumhist_inclusive", lambda s, d: h.cumulative(h.histogram(f.gray(s, d), KEYS), KEYS), _with(hist, then="SELECT *, (sum(n) OVER w)::BIGINT AS cum_n, (sum(v * n) OVER w)::BIGINT AS cum_s FROM h WINDOW w AS (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING)")),
+        ("cumhist_exclusive", lambda s, d: h.cumulative(h.histogram(f.gray(s, d), KEYS), KEYS, False), _with(hist, then="SELECT *, coalesce(sum(n) OVER w, 0)::BIGINT AS cum_n, coalesce(sum(v * n) OVER w, 0)::BIGINT AS cum_s FROM h WINDOW w AS (PARTITION BY image_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")),
+        ("otsu_variance", lambda s, d: h.between_class_variance(h.histogram(f.gray(s, d), KEYS), KEYS), _with(hist, _CUTS, then="SELECT image_id, v, n1::BIGINT AS n1, n2::BIGINT AS n2, variance FROM var")),
+        ("otsu_threshold", lambda s, d: h.otsu_threshold(f.gray(s, d), KEYS), _with(hist, _CUTS, then="SELECT * FROM t")),
+        ("otsu_binarize", lambda s, d: h.otsu_binarize(f.gray(s, d), KEYS), _with(hist, _CUTS, then="SELECT g.*, CASE WHEN g.v > threshold THEN 255 ELSE 0 END AS bw FROM gray g JOIN t USING (image_id)")),
+        ("otsu_batch_by_image", lambda s, d: h.otsu_threshold(f.batch(s, d), KEYS), _with(batch_hist, _CUTS, then="SELECT * FROM t")),
+        ("sobel_onepass", lambda s, d: convolve.scatter(f.gray(s, d), KEYS, convolve.SOBEL_H), _with(_conv_sql(convolve.SOBEL_H), then="SELECT * FROM g")),
+        ("sobel_separable", lambda s, d: convolve.convolve(f.gray(s, d), KEYS, convolve.SOBEL_H), _with(_conv_sql(convolve.SOBEL_H), then="SELECT * FROM g")),
+        ("sobel_banded", lambda s, d: convolve.banded(f.gray(s, d), KEYS, convolve.SOBEL_H), _with(_conv_sql(convolve.SOBEL_H), then="SELECT * FROM g")),
+        ("sobel_vertical", lambda s, d: convolve.convolve(f.gray(s, d), KEYS, convolve.SOBEL_V), _with(_conv_sql(convolve.SOBEL_V), then="SELECT * FROM g")),
+        ("sobel_batch", lambda s, d: convolve.convolve(f.batch(s, d), KEYS, convolve.SOBEL_H), _with(_conv_sql(convolve.SOBEL_H, "batch"), then="SELECT * FROM g")),
+        ("sobel_u8_wrap", lambda s, d: _edge(f.gray(s, d)), _with(_conv_sql(convolve.SOBEL_H), then=f"SELECT {place}, abs(g) AS mag, abs(g)::INT & 255 AS edge FROM g")),
+        ("sobel_u8_saturate", lambda s, d: _edge(f.gray(s, d), overflow="saturate"), _with(_conv_sql(convolve.SOBEL_H), then=f"SELECT {place}, abs(g) AS mag, least(abs(g)::INT, 255) AS edge FROM g")),
+        ("box_filter", lambda s, d: convolve.convolve(f.gray(s, d), KEYS, convolve.BOX), _with(_conv_sql(convolve.BOX), then="SELECT * FROM g")),
+        ("sharpen_rank_two", lambda s, d: convolve.convolve(f.gray(s, d), KEYS, SHARP), _with(_conv_sql(SHARP), then="SELECT * FROM g")),
+        ("kmeans_init", lambda s, d: kmeans.centroid_table(s, kmeans.initial(f.rgb(s, d), K, "i")), _with(_kmeans_sql(0), then="SELECT *, 3.0::DOUBLE * x AS x_ref FROM m0")),
+        ("kmeans_assign_1", lambda s, d: (lambda px: kmeans.assign(px, kmeans.initial(px, K, "i")).select("i", "cluster"))(f.rgb(s, d)), _with(_kmeans_sql(1), then="SELECT i, cluster FROM a1")),
+        ("kmeans_centroids_5", lambda s, d: kmeans.centroid_table(s, _kmeans(s, d)[1].centroids), _with(_kmeans_sql(ROUNDS), then=f"SELECT *, 3.0::DOUBLE * x AS x_ref FROM m{ROUNDS}")),
+        ("kmeans_int_centroids_5", lambda s, d: kmeans.centroid_table(s, _kmeans(s, d, mean="int")[1].centroids), _with(_kmeans_sql(ROUNDS, "int"), then=f"SELECT *, 3.0::DOUBLE * x AS x_ref FROM m{ROUNDS}")),
+        ("kmeans_repaint", lambda s, d: kmeans.repaint(*_kmeans(s, d)).select("i", "cluster", "r", "g", "b"), _with(_kmeans_sql(ROUNDS), then=f"SELECT i, cluster, trunc(m.r)::INT AS r, trunc(m.g)::INT AS g, trunc(m.b)::INT AS b FROM a{ROUNDS} a JOIN m{ROUNDS} m USING (cluster)")),
+        ("cluster_sum_count", lambda s, d: (lambda px: kmeans.sums(kmeans.compact(px), kmeans.initial(px, K, "i")))(f.rgb(s, d)), _with(_kmeans_sql(1), then="SELECT cluster, count(*) AS n, sum(x)::BIGINT AS x, sum(y)::BIGINT AS y, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b FROM a1 GROUP BY cluster")),
+        ("mask_cluster_sum", lambda s, d: (lambda px: kmeans.masked(kmeans.assign(px, kmeans.initial(px, K, "i")), 1))(f.rgb(s, d)).agg(F.sum("count").alias("n"), *[F.sum(c).alias(c) for c in "xyrgb"]), _with(_kmeans_sql(1), then="SELECT count(*) AS n, sum(x)::BIGINT AS x, sum(y)::BIGINT AS y, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b FROM a1 WHERE cluster = 1")),
+        ("edt", _edt, _with(_DIST, then=f"SELECT {place}, d2, dist FROM e")),
+        ("max_filter", lambda s, d: morphology.max_filter(f.batch(s, d), KEYS, 2), _with(_TOP.format(t="batch", c="v"), then="SELECT * FROM top")),
+        ("local_maxima", lambda s, d: morphology.local_maxima(_edt(s, d), KEYS, 2, "dist"), _with(_DIST, _TOP.format(t="e", c="dist"), then=f"SELECT {place}, e.d2, top.dist FROM top JOIN e USING ({place}) WHERE top.dist = top AND top.dist > 0")),
+        ("connected_components", _labels, _parts_sql("SELECT * FROM l")),
+        ("segment_count", lambda s, d: morphology.segment_count(_labels(s, d), KEYS), _parts_sql("SELECT image_id, count(DISTINCT label) AS segments FROM l GROUP BY image_id")),
+        ("watershed_flood", _flood, None),
+        ("watershed_pipeline", _pipeline, None),
+    ]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, query, _ in _entries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, _, sql in _entries() if sql}
