@@ -101,7 +101,7 @@ def components_of_large(mask: DataFrame, keys: list[str], folder: str, value: st
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])
-        code = (pdf["y"].astype("int64") << 32) + pdf["x"]
+        code = pdf["y"].astype("int64") * (1 << 32) + pdf["x"]
         pdf["part"] = code.groupby(_label(pdf["y"].to_numpy(), pdf["x"].to_numpy(), eight)).transform("min")
         return pdf[[*keys, "y", "x", "part"]]
 

@@ -246,10 +246,3 @@ def pixels(images: DataFrame, channels: int, flip: bool = False) -> DataFrame:
     if channels not in (1, 3):
         raise ValueError("pixel tables have one or three channels")
     return images.mapInPandas(spread, "image_id string, y int, x int, " + ("v int" if channels == 1 else "r int, g int, b int"))
-
-
-def pixels_from_bytes(images: DataFrame) -> DataFrame:
-    """(image_id, y, x, v) of one-channel image rows without leaving the JVM: bytes are exploded as hexadecimal pairs."""
-    row = images.where("channels = 1").select(F.col("path").alias("image_id"), "width", F.hex("data").alias("h"))
-    at = row.select("image_id", "width", "h", F.explode(F.sequence(F.lit(0), F.length("h") / 2 - 1)).cast("int").alias("i"))
-    return at.select("image_id", F.expr("i div width").cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), F.conv(F.substring("h", F.col("i") * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("v"))
