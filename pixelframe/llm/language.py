@@ -199,7 +199,7 @@ def report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lab
     return out.select(F.col("__id").alias(id_col), "held_out", "lang_pred", "score")
 
 
-def keep(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least_score: float = 0.4) -> DataFrame:
+def keep(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least_score: float = 0.3) -> DataFrame:
     """The rows of df in a known language: those that are `und`, or whose score is below `least_score`, go."""
     model = fit(df.where(~held_out(df[id_col])), text_col=text_col, label_col=label_col)
     out = predict(df, model, text_col=text_col, label="__lang", score="__score")
