@@ -12,8 +12,8 @@ fold into one node, so a list or a run of paragraphs is one slot. Pages of a hos
 4. The host's wrapper names the content node: an article or main element if the template has one, else the node under
    which most varying text lies. Page parts that are menus, headers, footers, sidebars, notices, adverts, forms or reader
    comments by their tag, class, id or role are never content, whether they vary or not.
-5. Each page's text is what lies in its content node, without those parts and without constant nodes. A page in which the
-   content node does not occur is read by the same rule on its own tree.
+5. Each page's text is what lies in its content node, without those parts and without constant nodes. In a page
+   without it the nearest node around it counts that the page has, or else the same rule on the page's own tree.
 
 Constant nodes inside the content go only with evidence: at least MIN_PAGES distinct pages, all but MAX_OTHER of which
 agree, and only if they are at most MAX_CONSTANT of the content's text (else the host repeats an article, not a frame).
@@ -234,6 +234,21 @@ def match(a: str, b: str) -> tuple[int, ...]:
     return tuple(found.get(i, -1) for i in range(size(left)))
 
 
+@functools.lru_cache(4096)
+def parents(shape: str) -> tuple[int, ...]:
+    """The parent of each node of a shape, in preorder; -1 for the root."""
+    out: list[int] = []
+
+    def walk(t: list, parent: int) -> None:
+        at = len(out)
+        out.append(parent)
+        for c in t[1:]:
+            walk(c, at)
+
+    walk(json.loads(shape), -1)
+    return tuple(out)
+
+
 def _own_text(f: Folded) -> str:
     return " ".join(" ".join(x for x in n.items if isinstance(x, str)) for n in f.nodes).strip()
 
@@ -279,7 +294,10 @@ def main_text(page: str, shape: str | None = None, content: int | None = None, c
     folded = Folded("", [parse(page)])
     nodes = _preorder(folded)
     aligned = match(json.dumps(folded.shape()), shape) if shape else ()
-    at = aligned.index(content) if content is not None and content >= 0 and content in aligned else -1
+    at = -1
+    while shape and content is not None and content > 0 and at < 0:  # the content node, or the least one around it that the page has
+        at = aligned.index(content) if content in aligned else -1
+        content = parents(shape)[content]
     if at < 0 or any(n.boilerplate for n in nodes[at][0].nodes):
         at = _content([(f.label, p, any(n.boilerplate for n in f.nodes), len(_own_text(f))) for f, p in nodes])
     if at < 0:
