@@ -13,7 +13,8 @@ distinct shingles. Texts whose sets are equal form a class, so copies are compar
    verified exactly on their full sets.
 5. Pairs are verified in three passes, each leaving out pairs that earlier links already put into one component: each
    class with its best leader; the other candidates; and, in large buckets that hold several components, members of
-   different components, compared in blocks of bounded size so that no pair that shares a bucket goes unseen.
+   different components, compared in blocks of bounded size, so that no pair that shares a bucket goes unseen and none
+   of these pairs leaves its task.
 6. Components of the links; each gets the smallest id among its rows.
 
 No bucket is capped. What a task holds is bounded by block sizes and by single texts; hot digests and hot leaders are
@@ -42,7 +43,7 @@ from pixelframe.llm.components import components
 
 HASHES, BATCH = 128, 32
 MISS = 1e-6
-SMALL, BLOCK = 8, 256
+SMALL, BLOCK = 8, 512
 SLICE_BYTES = 2 << 20
 _word_hashes: dict[bytes, int] = {}
 _WORDS_HELD = 400_000
@@ -211,9 +212,10 @@ def _exact(pairs: DataFrame, texts: DataFrame, minis: DataFrame, width: int, per
     return written(full.sortWithinPartitions("a").mapInArrow(verify, "u long, v long"), "verified")
 
 
-def _across(weighed: DataFrame, minis: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
-    """(a, b): members of different components that share a large bucket and pass the batches. The members outside the
-    bucket's largest component meet all others in blocks of at most about BLOCK by BLOCK. None if there are none."""
+def _across(weighed: DataFrame, minis: DataFrame, texts: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """(u, v): verified links between members of different components that share a large bucket; None if no bucket holds
+    several components. The members outside the bucket's largest component meet all others in blocks of about BLOCK by
+    BLOCK. Pairs stay inside their task: batches, exact sets, and one link for components that meet."""
     needed = least_matches(percent / 100)
     placed = weighed.join(roots.select(F.col("node").alias("c"), "root").hint("merge"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"))
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
@@ -221,54 +223,79 @@ def _across(weighed: DataFrame, minis: DataFrame, roots: DataFrame, percent: int
     main = written(main, "split-buckets")
     if not main.take(1):
         return None
-    rows = placed.join(main.hint("merge"), "key").join(minis.select("c", "mini", "bands").hint("merge"), "c")
+    rows = placed.join(main.hint("merge"), "key")
     block = lambda n: F.pmod(F.xxhash64("c"), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK))).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int") - 1))
     strays = rows.where("root <> main").withColumn("x", block("out")).withColumn("y", upto("all")).withColumn("stray", F.lit(True))
     others = rows.withColumn("y", block("all")).withColumn("x", upto("out")).withColumn("stray", F.lit(False))
-    cols = ["key", "x", "y", "stray", "c", "root", "mini", "bands"]
+    cols = ["key", "x", "y", "stray", "c", "root"]
+    dealt = strays.select(cols).unionByName(others.select(cols))
+    full = dealt.join(minis.select("c", "n", "mini", "bands").hint("merge"), "c").join(texts.hint("merge"), "c")
 
     def compare(rows: pa.Table) -> pa.Table:
-        stray = rows.column("stray").to_numpy()
-        c, root = (rows.column(x).to_numpy() for x in ("c", "root"))
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        c, root, n, stray = (rows.column(x).to_numpy() for x in ("c", "root", "n", "stray"))
+        packed = rows.column("packed")
         mini = np.frombuffer(b"".join(rows.column("mini").to_pylist()), np.uint8).reshape(-1, HASHES)
         bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
         at = int(np.nonzero(bands[0] == rows.column("key")[0].as_py())[0][0])
-        i, j = np.nonzero(stray[:, None] & ~stray[None, :] & (root[:, None] != root[None, :]))
-        first = ~(bands[i, :at] == bands[j, :at]).any(1)  # pairs are looked at in the first bucket they share
-        i, j = i[first], j[first]
-        left = survives(mini[i], mini[j], needed)
-        a, b = np.minimum(c[i[left]], c[j[left]]), np.maximum(c[i[left]], c[j[left]])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        sets: dict[int, np.ndarray] = {}
+        group = {r: r for r in root.tolist()}
+
+        def held(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(unpack(packed[k].as_py()), width)
+            return sets[k]
+
+        def top(r: int) -> int:
+            while group[r] != r:
+                r = group[r]
+            return r
+
+        links = []
+        all_others = np.nonzero(~stray)[0]
+        for i in np.nonzero(stray)[0].tolist():
+            mine = top(int(root[i]))
+            j = all_others[np.array([top(r) for r in root[all_others].tolist()]) != mine]
+            # pairs are looked at in the first bucket that they share
+            j = j[~(bands[i, :at] == bands[j, :at]).any(1) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
+            j = j[survives(np.broadcast_to(mini[i], (len(j), HASHES)), mini[j], needed)]
+            for k in j[np.argsort(-(mini[j] == mini[i]).sum(1), kind="stable")].tolist():
+                if top(int(root[k])) == top(int(root[i])):
+                    continue
+                a, b = held(i), held(k)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    links.append((int(c[i]), int(c[k])))
+                    group[top(int(root[i]))] = top(int(root[k]))
+        u, v = zip(*links, strict=True) if links else ((), ())
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return strays.select(cols).unionByName(others.select(cols)).groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    return written(full.groupBy("key", "x", "y").applyInArrow(compare, "u long, v long"), "across")
 
 
 def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """(rid, id, n, root, component_id, kept) of every signed row; root is null for the empty set."""
     filled = rows.where("n > 0")
     classes = written(filled.groupBy("d1", "d2").agg(F.min("rid").alias("c"), F.min("id").alias("least")), "classes")
-    minis = written(filled.join(classes.select("c").hint("merge"), F.col("rid") == F.col("c")).select("c", "bands", "mini"), "minis")
+    minis = written(filled.join(classes.select("c").hint("merge"), F.col("rid") == F.col("c")).select("c", "n", "bands", "mini"), "minis")
     pairs, weighed = _candidates(minis)
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        return written(rows.select(F.col("rid").alias("c"), "packed").join(ends.hint("merge"), "c"), "texts")
-
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")).hint("merge") for x in "ab")
         return pairs.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
-    texts = texts_of(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(weighed.select("c")).distinct()
+    texts = written(rows.select(F.col("rid").alias("c"), "packed").join(ends.hint("merge"), "c"), "texts")
     links = _exact(pairs.where("best"), texts, minis, width, percent)
     roots = components(links)
     links = links.unionByName(_exact(apart(pairs.where("not best"), roots), texts, minis, width, percent))
     roots = components(links)
-    more = _across(weighed, minis, roots, percent)
+    more = _across(weighed, minis, texts, roots, width, percent)
     if more is not None:
-        more = written(more, "across")
-        links = links.unionByName(_exact(more, texts_of(more), minis, width, percent))
-        roots = components(links)
+        roots = components(links.unionByName(more))
 
     joined = classes.join(roots.hint("merge"), F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
     ends = joined.groupBy("root").agg(F.min("least").alias("component_id"))

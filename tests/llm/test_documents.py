@@ -249,7 +249,7 @@ def near_rows():
 @pytest.mark.parametrize("small", [8, 2])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     rows = near_rows()
     df = spark.createDataFrame([(i, t, "k", i) for i, t in rows], "doc_id long, text string, kept string, component_id int")
     got = sorted((g["doc_id"], g["n_shingles"], g["component_id"], g["kept"]) for g in minhash.near_duplicates(df, width=3, percent=85).collect())
