@@ -48,31 +48,26 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     q_norm, q_stats = (queries**2).sum(1), [statistics(queries, s) for s in RESOLUTIONS]
     for at in range(0, len(rows), CHUNK):
         c, ids = rows[at : at + CHUNK], row_ids[at : at + CHUNK]
-        c_norm = (c**2).sum(1)
-        norms = q_norm[:, None] + c_norm[None, :]
-        stats = statistics(c, RESOLUTIONS[0])
-        # |a - b|^2 = |a|^2 + |b|^2 - 2ab on the statistics, whose own squared sums are the vectors' norms
-        upper = q_stats[0] @ stats.T
-        upper[query_ids[:, None] == ids[None, :]] = -np.inf
-        if len(ids) >= k:  # a few exact scores of the most promising rows raise the floor
-            top = np.argpartition(-upper, min(2 * k, len(ids)) - 1, axis=1)[:, : min(2 * k, len(ids))]
-            some = np.einsum("qd,qkd->qk", queries, c[top])
-            some[np.take_along_axis(upper, top, 1) == -np.inf] = -np.inf
-            floor = np.maximum(floor, np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k])
-        qi, ci = np.nonzero(upper >= (floor - 0.5)[:, None] - 1e-9 * norms)
-        valid = query_ids[qi] != ids[ci]
-        qi, ci = qi[valid], ci[valid]
-        for level, segments in enumerate(RESOLUTIONS[1:], 1):
-            fine = statistics(c, segments)
-            bound = np.einsum("ij,ij->i", q_stats[level][qi], fine[ci])
-            left = bound >= floor[qi] - 0.5 - 1e-9 * norms[qi, ci]
-            qi, ci = qi[left], ci[left]
-        scores = np.einsum("ij,ij->i", queries[qi], c[ci])
-        found = _first_k(*(np.concatenate(x) for x in zip(found, (qi, ids[ci], scores), strict=True)), k)
+        slack = 0.5 + 1e-9 * (q_norm[:, None] + (c**2).sum(1)[None, :])
+        alive = query_ids[:, None] != ids[None, :]
+        for level, segments in enumerate(RESOLUTIONS):
+            # |a - b|^2 = |a|^2 + |b|^2 - 2ab on the statistics, whose own squared sums are the vectors' norms
+            upper = q_stats[level] @ statistics(c, segments).T + slack
+            if not level and len(ids) >= k:  # exact scores of the most promising rows raise the floor first
+                some = min(2 * k, len(ids))
+                top = np.argpartition(np.where(alive, -upper, np.inf), some - 1, axis=1)[:, :some]
+                exact = np.where(np.take_along_axis(alive, top, 1), np.einsum("qd,qkd->qk", queries, c[top], optimize=True), -np.inf)
+                floor = np.maximum(floor, np.partition(exact, some - k, axis=1)[:, some - k])
+            alive &= upper >= floor[:, None]
+        qa, ca = np.nonzero(alive.any(1))[0], np.nonzero(alive.any(0))[0]
+        if not len(qa):
+            continue
+        scores = queries[qa] @ c[ca].T
+        qi, ci = np.nonzero(alive[np.ix_(qa, ca)] & (scores >= floor[qa][:, None]))
+        found = _first_k(*(np.concatenate(x) for x in zip(found, (qa[qi], ids[ca[ci]], scores[qi, ci]), strict=True)), k)
         counts = np.bincount(found[0], minlength=len(queries))
-        last = np.cumsum(counts) - 1
         full = counts >= k
-        floor[full] = np.maximum(floor[full], found[2][last[full]])
+        floor[full] = np.maximum(floor[full], found[2][(np.cumsum(counts) - 1)[full]])
     return found
 
 
