@@ -7,13 +7,11 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its counted rows, at the given bytes each, stay below this.
 BROADCAST_BYTES = 16 << 20
-#: ASCII white space as the contracts define it: space and code points 9 to 13.
-ASCII_SPACE = "\t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors, and keeps
     what was computed from being computed again by later readers."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pixelframe-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the tables that this application has written, once their results have been read or stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Join with a side that is usually small: broadcast if its counted rows fit BROADCAST_BYTES, else a sort-merge join,
     whose skewed partitions AQE splits."""
@@ -68,7 +76,3 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-
-
-def null_safe(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)

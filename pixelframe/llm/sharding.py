@@ -69,11 +69,10 @@ def assign_shards(df: DataFrame, limit: int, *, id_col: str = "doc_id", text_col
 
 
 def write_shards(df: DataFrame, path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write df with one folder per shard. Rows join their shard by id and text digest."""
-    rows = df.withColumn("__digest", F.md5(F.coalesce(df[text_col], F.lit("")))).withColumn("__row", F.monotonically_increasing_id())
-    rows = written(rows, "to-shard")
+    """Write df with one folder per shard, named by its bits after a "b". Rows are numbered once and join their shard by number."""
+    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "to-shard")
     named = assign_shards(rows.select(F.col("__row").alias("__rid"), F.col(text_col).alias("__t")), limit, id_col="__rid", text_col="__t")
-    rows.join(named.select(F.col("__rid").alias("__row"), F.concat(F.lit("b"), "shard").alias("shard_bits")), "__row").drop("__row", "__digest").repartition("shard_bits").write.partitionBy("shard_bits").parquet(path)
+    rows.join(named.select(F.col("__rid").alias("__row"), F.concat(F.lit("b"), "shard").alias("shard_bits")), "__row").drop("__row").repartition("shard_bits").write.partitionBy("shard_bits").parquet(path)
 
 
 def oracle(limit: int) -> str:
