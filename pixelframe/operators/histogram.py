@@ -58,11 +58,12 @@ def otsu_threshold(pixels: DataFrame, keys: list[str], value: str = "v") -> Data
     return images.join(cuts, keys, "left").select(*keys, F.coalesce("threshold", F.lit(0)).cast("int").alias("threshold"))
 
 
-def otsu_binarize(pixels: DataFrame, keys: list[str], value: str = "v", image_bytes: int = 64) -> DataFrame:
-    """The pixels with `bw`, 255 above their image's threshold and 0 elsewhere. Thresholds are one row per image: they are
-    broadcast if their number is small, else joined on the image."""
+def otsu_binarize(pixels: DataFrame, keys: list[str], value: str = "v", broadcast_rows: int = 100_000) -> DataFrame:
+    """The pixels with `bw`, 255 above their image's threshold and 0 elsewhere. Thresholds, one row per image, are computed
+    once and counted: up to `broadcast_rows` are broadcast, so that pixels are not shuffled; more are joined on the image."""
     cuts = otsu_threshold(pixels, keys, value)
     if not keys:
         return pixels.crossJoin(F.broadcast(cuts)).withColumn("bw", threshold(F.col(value), F.col("threshold"))).drop("threshold")
-    side = F.broadcast(cuts) if cuts.limit(200_001).count() * image_bytes <= 200_000 * image_bytes else cuts.hint("merge")
+    cuts = cuts.persist()
+    side = F.broadcast(cuts) if cuts.count() <= broadcast_rows else cuts.hint("merge")
     return pixels.join(side, keys).withColumn("bw", threshold(F.col(value), F.col("threshold"))).drop("threshold")
