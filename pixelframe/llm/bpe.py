@@ -131,7 +131,8 @@ def block_words(src: DataFrame) -> DataFrame:
 
 
 def word_table(places: DataFrame, tokenizer_file: str) -> DataFrame:
-    """(block, place, ids): rows of a word meet in one partition and stand together, and the word is encoded once for all of them."""
+    """(block, n, packed): ids for n places of a block. Rows of a word meet in one partition and stand together, and the
+    word is encoded once for all of them; what a batch has for one block leaves it as one packed row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_ids = None, b""
@@ -142,11 +143,42 @@ def word_table(places: DataFrame, tokenizer_file: str) -> DataFrame:
                 ids = [last_ids, *encode_words(tokenizer_file, words[1:])]
             else:
                 ids = encode_words(tokenizer_file, words)
-            if words:
-                last, last_ids = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "place", "ids"])
-
-    return places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, place int, ids binary")
+            if not words:
+                continue
+            last, last_ids = words[-1], ids[-1]
+            block, place, word = batch.column("block").to_numpy(), batch.column("place").to_numpy(), coded.indices.to_numpy()
+            order = np.argsort(block, kind="stable")
+            starts = np.nonzero(np.concatenate([[True], np.diff(block[order]) != 0]))[0]
+            groups = np.split(order, starts[1:])
+            rows = [(int(block[g[0]]), len(g), pack_places(place[g], [ids[w] for w in word[g]])) for g in groups]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "n", "packed"])
+
+    return places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, n int, packed binary")
+
+
+def pack_places(places: np.ndarray, ids: list[bytes]) -> bytes:
+    """Places, lengths of their ids, and the ids, compressed."""
+    import zstandard
+
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+    return zstandard.ZstdCompressor(level=3).compress(places.astype("<i4").tobytes() + sizes.astype("<i4").tobytes() + b"".join(ids))
+
+
+def unpack_places(rows: pa.Table, n: int) -> list[bytes] | None:
+    """The ids of places 0 to n - 1; None if the rows do not hold just these."""
+    import zstandard
+
+    counts = rows.column("n").to_pylist()
+    if sum(counts) != n:
+        return None
+    out: list[bytes] = [b""] * n
+    for count, packed in zip(counts, rows.column("packed").to_pylist(), strict=True):
+        raw = zstandard.ZstdDecompressor().decompress(packed)
+        places, sizes = np.frombuffer(raw, "<i4", count), np.frombuffer(raw, "<i4", count, 4 * count)
+        ends = (8 * count + np.cumsum(sizes)).tolist()
+        for place, start, end in zip(places.tolist(), [8 * count, *ends[:-1]], ends, strict=True):
+            out[place] = raw[start:end]
+    return out
 
 
 def block_texts(src: DataFrame) -> DataFrame:
@@ -180,9 +212,8 @@ def encode(df: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_c
             return pa.table([pa.array([], k) for k in [pa.int64(), *kinds]], names=names)
         runs = _runs(held)
         words = words_of(runs)
-        if coded.num_rows == len(words):
-            ids = coded.column("ids").combine_chunks().take(pa.array(np.argsort(coded.column("place").to_numpy()))).to_pylist()
-        else:
+        ids = unpack_places(coded, len(words))
+        if ids is None:
             ids = encode_words(tokenizer_file, words)
         book = dict(zip(words, ids, strict=True))
         narrow = id_kind(tokenizer_file)
