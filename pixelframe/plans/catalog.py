@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.functions import pixel as P
-from pixelframe.operators import convolve, histogram, kmeans, morphology, watershed
+from pixelframe.operators import convolve, histogram, kmeans, morphology, report, watershed
 from pixelframe.plans import fixtures
 from pixelframe.plans.fixtures import SQL
 
@@ -133,6 +133,7 @@ def _entries() -> list[tuple[str, Query, str | None]]:
         ("local_maxima", lambda s, d: morphology.local_maxima(_edt(s, d), KEYS, 2, "dist"), _with(_DIST, _TOP.format(t="e", c="dist"), then=f"SELECT {place}, e.d2, top.dist FROM top JOIN e USING ({place}) WHERE top.dist = top AND top.dist > 0")),
         ("connected_components", _labels, _parts_sql("SELECT * FROM l")),
         ("segment_count", lambda s, d: morphology.segment_count(_labels(s, d), KEYS), _parts_sql("SELECT image_id, count(DISTINCT label) AS segments FROM l GROUP BY image_id")),
+        ("speedup", lambda s, d: report.speedup(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value"), _with(then="SELECT user_id, event_id, value, CASE WHEN value <> 0 THEN first(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) / value END AS speedup FROM events")),
         ("watershed_flood", _flood, None),
         ("watershed_pipeline", _pipeline, None),
     ]
