@@ -9,8 +9,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import pytest
-
 from pixelframe.llm import components, language, licenses, minhash, mixing, quality, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -246,9 +244,8 @@ def near_rows():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_near_duplicates(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
+def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)
     monkeypatch.setattr(minhash, "BLOCK", 16)
     rows = near_rows()
     df = spark.createDataFrame([(i, t, "k", i) for i, t in rows], "doc_id long, text string, kept string, component_id int")
