@@ -101,7 +101,10 @@ def keep(df: DataFrame, *, text_col: str = "text", host_col: str = "source", max
     rates, once for the verdict), which moves no text between tasks."""
     rows, hosts = judged(df, text_col=text_col, host_col=host_col, max_rate=max_rate)
     hosts = written(hosts.select("__hnull", "__host", "__host_ok"), "verdicts")
-    return join_small(rows.where("not __base_failed"), hosts, ["__hnull", "__host"], "left", 60).where("__host_ok").select(*df.columns)
+    # a row number in the condition keeps the optimizer from pushing it below the measures, which would copy their
+    # expressions into each other many times over
+    passed = rows.withColumn("__nth", F.monotonically_increasing_id()).where("not __base_failed and __nth >= 0")
+    return join_small(passed, hosts, ["__hnull", "__host"], "left", 60).where("__host_ok").select(*df.columns)
 
 
 def oracle(max_rate: float = 0.75) -> str:
