@@ -39,8 +39,19 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([x.mean(2), x.std(2)], axis=1) * math.sqrt(size)
 
 
+def once(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Places of the rows without repeated (id, vector) ones; vectors are compared only where an id comes again."""
+    _, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    again = counts[at] > 1
+    seen: dict = {}
+    for i in np.nonzero(again)[0]:
+        seen.setdefault((int(ids[i]), (vectors[i] + 0.0).tobytes()), i)  # -0.0 is 0.0
+    return np.sort(np.concatenate([np.nonzero(~again)[0], np.fromiter(seen.values(), np.int64, len(seen))]))
+
+
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of query, row id, score) of the k best rows of each query, ties to the smaller id."""
+    """(index of query, row id, score) of the k best rows of each query, ties to the smaller id. Each given row counts: the
+    floor is right only if repeated rows were dropped before."""
     if max(np.abs(queries).max(initial=0), np.abs(rows).max(initial=0)) > EXACT:
         return _best_of_large(queries, query_ids, rows, row_ids, k)
     found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -74,8 +85,6 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
 def _first_k(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -scores, q))
     q, ids, scores = q[order], ids[order], scores[order]
-    again = np.concatenate([[False], (q[1:] == q[:-1]) & (ids[1:] == ids[:-1]) & (scores[1:] == scores[:-1])]) if len(q) else np.empty(0, bool)
-    q, ids, scores = q[~again], ids[~again], scores[~again]
     place = np.arange(len(q)) - np.searchsorted(q, q)
     return q[place < k], ids[place < k], scores[place < k]
 
@@ -85,7 +94,7 @@ def _best_of_large(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
     exact_q, exact_r = [[[int(v) for v in x] for x in y] for y in (queries, rows)]
     out = []
     for i, q in enumerate(exact_q):
-        ranked = sorted({(-sum(a * b for a, b in zip(q, r, strict=True)), int(row_ids[j])) for j, r in enumerate(exact_r) if row_ids[j] != query_ids[i]})
+        ranked = sorted((-sum(a * b for a, b in zip(q, r, strict=True)), int(row_ids[j])) for j, r in enumerate(exact_r) if row_ids[j] != query_ids[i])
         out += [(i, j, -s) for s, j in ranked[:k]]
     q, ids, scores = zip(*out, strict=True) if out else ((), (), ())
     return np.array(q, np.int64), np.array(ids, np.int64), np.array(scores, object)
@@ -107,7 +116,9 @@ def top_k(df: DataFrame, k: int = 5, *, id_col: str = "vec_id", vector_col: str
         out: list[list] = [[], [], []]
         if queries.num_rows and rows.num_rows:
             ids, row_ids = (np.asarray(t.column("id").to_numpy()) for t in (queries, rows))
-            q, r = (np.floor(t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) * 256.0) if t.column("d")[0].as_py() else np.zeros((t.num_rows, 1)) for t in (queries, rows))
+            q, r = (t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.column("d")[0].as_py() else np.zeros((t.num_rows, 1)) for t in (queries, rows))
+            own = once(row_ids, r)
+            q, r, row_ids = np.floor(q * 256.0), np.floor((r if len(own) == len(r) else r[own]) * 256.0), row_ids[own]
             at = np.array(sorted({(int(n), x.tobytes()): i for i, (n, x) in enumerate(zip(ids, q, strict=True))}.values()))
             i, j, s = best(q[at], ids[at], r, row_ids, k)
             lo, hi = -(1 << 63), (1 << 63) - 1

@@ -45,6 +45,23 @@ def test_top_k_of_large_numbers_and_nothing(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [(1024, 16384, 2048), (2, 16, 7)])
+def test_top_k_of_repeated_rows(spark, monkeypatch, blocks):
+    for name, value in zip(("QUERY_BLOCK", "ROW_BLOCK", "CHUNK"), blocks, strict=True):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=20).astype(np.float32).tolist()) for i in range(60)]
+    best = sorted(range(1, 60), key=lambda i: -sum(a * b for a, b in zip(rows[0][1], rows[i][1], strict=True)))
+    rows += [rows[i] for i in best[:3] for _ in range(5)]  # each of the best comes more than k times
+    other = [x + 2**-12 if x * 256 % 1 < 0.9 else x for x in rows[best[0]][1]]  # the same id and score, another vector
+    rows += [(best[0], other), (7, [0.0] * 20), (7, [-0.0] * 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df, 5, every=10).collect())) == search_loop(rows, 5, 10)
+    large = [(0, [1e6, 1.0]), (1, [9e6, 0.0]), (1, [9e6, 0.0]), (2, [8e6, 0.0]), (3, [7e6, 0.0])]
+    df = spark.createDataFrame(large, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df, 2, every=5).collect())) == search_loop(large, 2, 5)
+
+
 def test_bounds_hold():
     r = np.random.default_rng(3)
     a, b = np.floor(r.normal(size=(30, 37)) * 256), np.floor(r.normal(size=(40, 37)) * 256)
