@@ -5,6 +5,10 @@ replaced by one; everything but letters and digits turned into single spaces. Th
 hash to the digests of known licence texts, which pass through the same expressions. The table of known licences is fixed
 below, so it is small enough to broadcast whatever the corpus; texts are neither shuffled nor gathered.
 
+Whole texts alone miss a licence that stands in or below other prose. `parts` therefore joins the digests of every line and
+of every paragraph of several lines (paragraphs are parted by blank lines) in the same way, over the whole of each text. A
+licence of several paragraphs is found where it is the whole text.
+
 Defined results: null, empty and copyright-only texts have the empty canonical form and match nothing; repeated rows give
 repeated rows; an empty table gives an empty table; other columns are ignored.
 """
@@ -106,6 +110,21 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     return found.select(F.col("__id").alias(id_col), "canonical_sha256", "license_id")
 
 
+def parts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per line or paragraph that is a known licence: the id, part (line or paragraph), place (from 1), license_id. A
+    licence in a line of its own inside a paragraph that is, but for copyrights, the same licence gives both."""
+
+    def cut(kind: str, pattern: str) -> Column:
+        pieces = F.split(df[text_col], pattern)
+        return F.transform(pieces, lambda x, i: F.struct(F.lit(kind).alias("part"), (i + 1).alias("place"), x.alias("t")))
+
+    several = F.filter(cut("paragraph", r"(?:\r\n?|\n)(?:[^\S\r\n]*(?:\r\n?|\n))+"), lambda x: x["t"].rlike(r"\S[^\S\r\n]*[\r\n]+\s*\S"))
+    rows = df.select(df[id_col].alias("__id"), F.explode(F.concat(cut("line", r"\r\n?|\n"), several)).alias("p"))
+    # a digest that can't be null gets no null check from the join, which would compute every form twice
+    rows = rows.select("__id", "p.part", "p.place", F.coalesce(F.sha2(canonical(F.col("p.t")), 256), F.lit("")).alias("digest"))
+    return rows.join(F.broadcast(known(df.sparkSession)), "digest").select(F.col("__id").alias(id_col), "part", "place", "license_id")
+
+
 def oracle() -> str:
     def form(text: str) -> str:
         out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"

@@ -49,6 +49,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_license_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and paragraphs of whole texts that are known licences."""
+    return licenses.parts(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of whole texts, learned from the rows that are not held out."""
     return language.report(table(spark, sf_dir, "documents"))
@@ -71,7 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_bpe, op2_topk, op3_minhash, op4_sharding, op5_quality, op6_licenses, op7_language, op8_html, op9_token_counts, op10_mixing,
+        op1_bpe, op2_topk, op3_minhash, op4_sharding, op5_quality, op6_licenses, op6_license_parts, op7_language, op8_html, op9_token_counts, op10_mixing,
     )}
 
 

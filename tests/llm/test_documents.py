@@ -80,6 +80,20 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_licenses_in_lines_and_paragraphs(spark):
+    isc = next(t for k, t in licenses.KNOWN if k == "ISC").replace("\n\n", "\n")
+    rows = [
+        (1, "prose of a page\nReleased under the MIT License.", "en", "s"), (1, "prose of a page\nReleased under the MIT License.", "en", "s"),
+        (2, "Licensed under CC BY-NC 4.0.\r\nprose\r\n\r\nSPDX-License-Identifier: MIT\r\nmore", "en", "s"),
+        (3, f"prose\n \t\n{isc}\n\nprose", "en", "s"), (4, None, "en", "s"), (5, "", "en", "s"), (6, "\n\n", "en", "s"), (7, "© 2020 X\n\n\n", "en", "s"),
+        (8, "it was released under the MIT License.", "en", "s"), (9, "w " * 50000 + "\nReleased under the MIT License", "en", "s"),
+    ]
+    got = licenses.parts(frame(spark, [(*r, "x") for r in rows], ", part string")).collect()
+    want = {(1, "line", 2, "MIT"): 2, (2, "line", 1, "CC-BY-NC-4.0"): 1, (2, "line", 4, "MIT"): 1, (3, "paragraph", 2, "ISC"): 1, (9, "line", 2, "MIT"): 1}
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert licenses.parts(frame(spark, [])).count() == 0
+
+
 SAMPLE = {
     "en": "the quick brown fox jumps over the lazy dog and this is what they would have thought about with their friends",
     "de": "der schnelle braune fuchs springt über den faulen hund und das ist was sie mit ihren freunden gedacht hätten",
