@@ -94,6 +94,22 @@ def test_licenses_in_lines_and_paragraphs(spark):
     assert licenses.parts(frame(spark, [])).count() == 0
 
 
+def test_wrapped_and_one_line_licenses(spark):
+    import textwrap
+
+    of = {k: t for k, t in reversed(licenses.KNOWN) if len(t) > 200}
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(x, n) for x in t.split("\n\n"))
+    isc = of["ISC"].removeprefix("ISC License\n\n").replace("copyright notice and", "\ncopyright notice and")
+    one = " ".join(of["MIT"].split())
+    cases = [(isc, "ISC"), (isc.replace("\n", "\r\n"), "ISC"), (f"Copyright (c) 2020 X Y {one}", "MIT"), (f"© 2020, X and Y. All rights reserved. {one}", "MIT")]
+    cases += [(wrap(t, n), k) for k, t in of.items() for n in (24, 40, 72)]
+    cases += [(f"ISC License\nCopyright 2019-2020 A. Person,\nB. Person\nCopyright The Authors\n\n{isc}", "ISC"), (f"MIT License\nCopyright Jane Doe\n\n{one.removeprefix('MIT License ')}", "MIT")]
+    cases += [("/*\n * Copyright (C) 2020 X\n *\n" + "\n".join(f" * {x}" for x in wrap(of["BSD-3-Clause"], 60).split("\n")) + "\n */", "BSD-3-Clause")]
+    cases += [("Licensed under the Apache License, Version\n2.0.", "Apache-2.0"), ("Copyright notice " + one, None), ("Copyright 2020 X", None)]
+    got = licenses.scan(frame(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(cases)])).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {i: k for i, (_, k) in enumerate(cases)}
+
+
 SAMPLE = {
     "en": "the quick brown fox jumps over the lazy dog and this is what they would have thought about with their friends",
     "de": "der schnelle braune fuchs springt über den faulen hund und das ist was sie mit ihren freunden gedacht hätten",
