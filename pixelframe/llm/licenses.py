@@ -6,8 +6,9 @@ a line and is a copyright sign, or the word with a sign or a year, or the word w
 paragraph. It goes to the end of its line (after a comma, of the next one, within 200 characters a line), or to where a
 known licence begins in the same line. The query's SQL states an older form, which removes whole lines and folds none; the
 tests hold the given tables to it. The SHA-256 of what remains is joined by
-hash to the digests of known licence texts, which pass through the same expressions. The table of known licences is fixed
-below, so it is small enough to broadcast whatever the corpus; texts are neither shuffled nor gathered.
+hash to the digests of known licence texts, which pass through the same expressions. Known are the licences fixed below,
+the full texts in license_texts, and those of a table that the caller gives; their digests are broadcast if their counted
+rows are few, else merged. Corpus texts are neither shuffled nor gathered.
 
 Whole texts alone miss a licence that stands in or below other prose. `parts` therefore joins the digests of every line and
 of every paragraph of several lines (paragraphs are parted by blank lines) in the same way, over the whole of each text. A
@@ -20,10 +21,16 @@ repeated rows; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import functools
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.llm.common import join_small
+
+#: Bytes of a known licence's digest and id in a join.
+ROW_BYTES = 256
+
 _START = r"\b(?:permission (?:is hereby|to use)|redistribution and use|(?:licen[sc]ed|released) under|this work is licen|spdx-licen|(?:the )?(?:mit|isc|bsd [0-9]-clause|apache) licen)"
 _REST = rf"(?:(?!{_START})[^\n]){{0,200}}"
 _END = rf"{_REST}(?:(?<=,)[^\S\n]*\n{_REST}){{0,3}}(?=\n|\z|{_START})"
@@ -124,20 +131,35 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
-def known(spark) -> DataFrame:
-    """(license_id, digest) of the known licences, each digest once."""
-    texts = spark.createDataFrame(KNOWN, "license_id string, text string")
-    return texts.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).dropDuplicates(["digest"])
+def built_in() -> list[tuple[str, str]]:
+    """(license_id, text): KNOWN, MIT under its other titles, and the full texts, with and without what follows their terms."""
+    mit = KNOWN[0][1].removeprefix("MIT License")
+    out = [*KNOWN, *(("MIT", title + mit) for title in ("", "The MIT License", "The MIT License (MIT)"))]
+    for file in sorted(resources.files("pixelframe.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        text = file.read_text(encoding="utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(file.name.removesuffix(".txt"), t) for t in ([text, terms, terms + end] if end else [text])]
+    return out
+
+
+def known(spark, more: DataFrame | None = None) -> DataFrame:
+    """(license_id, digest) of the known licences and of `more` (license_id, text), each digest once, with its least id."""
+    texts = spark.createDataFrame(built_in(), "license_id string, text string")
+    if more is not None:
+        texts = texts.unionByName(more.select("license_id", "text"))
+    forms = texts.where("license_id is not null").select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")
+    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, canonical_sha256, license_id (null if the whole text is no known licence)."""
+def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
+    """Per row: the id, canonical_sha256, license_id (null if the whole text is no known licence). `more` has further
+    licences (license_id, text)."""
     rows = df.select(df[id_col].alias("__id"), F.sha2(canonical(df[text_col]), 256).alias("canonical_sha256"))
-    found = rows.join(F.broadcast(known(df.sparkSession)), F.col("canonical_sha256") == F.col("digest"), "left")
+    found = join_small(rows, known(df.sparkSession, more).withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left", ROW_BYTES)
     return found.select(F.col("__id").alias(id_col), "canonical_sha256", "license_id")
 
 
-def parts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def parts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
     """Per line or paragraph that is a known licence: the id, part (line or paragraph), place (from 1), license_id. A
     licence in a line of its own inside a paragraph that is, but for copyrights, the same licence gives both."""
 
@@ -149,7 +171,7 @@ def parts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = df.select(df[id_col].alias("__id"), F.explode(F.concat(cut("line", r"\r\n?|\n"), several)).alias("p"))
     # a digest that can't be null gets no null check from the join, which would compute every form twice
     rows = rows.select("__id", "p.part", "p.place", F.coalesce(F.sha2(canonical(F.col("p.t")), 256), F.lit("")).alias("digest"))
-    return rows.join(F.broadcast(known(df.sparkSession)), "digest").select(F.col("__id").alias(id_col), "part", "place", "license_id")
+    return join_small(rows, known(df.sparkSession, more), "digest", "inner", ROW_BYTES).select(F.col("__id").alias(id_col), "part", "place", "license_id")
 
 
 def oracle() -> str:

@@ -110,6 +110,23 @@ def test_wrapped_and_one_line_licenses(spark):
     assert {r["doc_id"]: r["license_id"] for r in got} == {i: k for i, (_, k) in enumerate(cases)}
 
 
+def test_full_texts_and_given_licenses(spark, monkeypatch):
+    from pixelframe.llm import common
+
+    texts = licenses.built_in()
+    mit = licenses.KNOWN[0][1].removeprefix("MIT License").strip()
+    cases = [(mit, "MIT"), ("The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + mit, "MIT"), ("My own terms,\nversion 1", "Own")]
+    cases += [(" \n" + t.replace("\n", "\r\n"), k) for k, t in texts if len(t) > 5000] + [(None, None), ("", None)]
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0"} <= {k for _, k in cases}
+    df = frame(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(cases)])
+    more = spark.createDataFrame([("Own", "my own terms, version 1"), ("Empty", ""), ("Null", None), ("ZMIT", mit)], "license_id string, text string")
+    for limit in (common.BROADCAST_BYTES, 0):  # broadcast and merged
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+        assert {r["doc_id"]: r["license_id"] for r in licenses.scan(df, more=more).collect()} == {i: k for i, (_, k) in enumerate(cases)}
+    lines = frame(spark, [(1, "prose\nMy own terms, v1", "en", "s")])
+    assert [tuple(r) for r in licenses.parts(lines, more=more).collect()] == [(1, "line", 2, "Own")]
+
+
 SAMPLE = {
     "en": "the quick brown fox jumps over the lazy dog and this is what they would have thought about with their friends",
     "de": "der schnelle braune fuchs springt über den faulen hund und das ist was sie mit ihren freunden gedacht hätten",
