@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its counted rows, at the given bytes each, stay below this.
 BROADCAST_BYTES = 16 << 20
+#: Most rows and bytes of an Arrow batch between the JVM and Python; a single longer row is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+#: Bytes of a row group in written tables, which a task holds while it writes.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors, and keeps
     what was computed from being computed again by later readers."""
     path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,3 +83,45 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def bounded_arrow(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ARROW_ROWS and ARROW_BYTES, unless it has set less itself."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = (spark.conf.get(f"spark.sql.execution.arrow.{name}") or "").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def release() -> None:
+    """Give memory back to the system that a reused Python worker would keep after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator], *caches: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """The function for mapInArrow, after which `caches` are emptied and memory is given back."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for empty in caches:
+                empty()
+            release()
+
+    return wrapped
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no name of theirs can clash with an operator's own."""
+    return F.struct(F.lit(True).alias("row"), *[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def unpacked(df: DataFrame, column: str, names: list[str], *more: Column) -> DataFrame:
+    """The columns that `packed` put into `column`, under their names, and `more`."""
+    return df.select(*[F.col(column)[f"c{i}"].alias(c) for i, c in enumerate(names)], *more)

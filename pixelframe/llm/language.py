@@ -1,15 +1,20 @@
 """Language identification by hierarchical discrimination.
 
 A text's features are its letters' n-grams (one to three, spaces between words included) hashed to DIMS, as square roots of
-their shares, so a text's length does not matter and every vector has length one. The language family is predicted first;
-within it, one-versus-one linear support vector machines separate the related languages. Machines minimise the squared
-hinge loss. They are fitted on the driver from a bounded sample of labelled rows: at most TRAIN_ROWS rows, shared evenly by
-the labels (what each gives is chosen by a hash of its text, equal texts once). Prediction is one pass in Arrow functions,
-over whole texts, without a shuffle.
+their shares, so a text's length does not matter and every vector has length one. The language family is predicted first,
+by linear support vector machines of one family against the rest; within it, one-versus-one machines separate the related
+languages. Machines minimise the squared hinge loss. They are fitted on the driver from a bounded sample of labelled rows,
+shared evenly by the labels: train_rows rows in all, but at least MIN_EACH for each label, and the most_labels labels with
+the most distinct texts (what each gives is chosen by a hash of its text; equal texts count once, in the shares too).
+Prediction is one pass in Arrow functions, over whole texts, without a shuffle.
+
+A text is of no known language if it is less like the mean of its predicted label than SLACK times the least alike of that
+label's sampled texts of at least its length class (classes double in letters; texts shorter than any class with
+MIN_CLASS sampled texts are taken as known). `keep` uses this; `report` names a label for every text with letters.
 
 Defined results: a null text, or one without letters, is `und` with score 0; with no labelled rows everything is `und`;
-with one label everything with letters is that label. Repeated rows give repeated rows; an empty table gives an empty
-table. `predict` keeps all columns of its input and adds two of the given names.
+with one label everything with letters is that label. Repeated rows give repeated rows; very long texts are read whole; an
+empty table gives an empty table. `keep` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pixelframe.llm.common import by_bytes
+from pixelframe.llm.common import bounded_arrow, by_bytes, packed, released, unpacked
 
 DIMS, TRAIN_ROWS, ROUNDS, PENALTY = 1 << 13, 2000, 150, 1e-3
-SLICE_BYTES = 1 << 20
+MIN_EACH, MOST_LABELS = 20, 250
+SLACK, MIN_CLASS = 0.7, 5
+#: Text and rows that are looked at together; a row's vector has DIMS numbers.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
 #: Families of common languages (ISO 639-1). Any other label is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -47,11 +54,12 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def features(text: str | None) -> np.ndarray | None:
-    """The text's vector; None without letters."""
+def features(text: str | None) -> tuple[np.ndarray, int] | None:
+    """The text's vector and its letters; None without letters."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = letters()[codes]
-    if not is_letter.any():
+    n = int(is_letter.sum())
+    if not n:
         return None
     codes = np.where(is_letter, codes, 32).astype(np.uint32)
     codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
@@ -61,129 +69,165 @@ def features(text: str | None) -> np.ndarray | None:
     c = (b[:-1] ^ (a[2:] >> np.uint32(11))) * np.uint32(0xC2B2AE35)
     shift = np.uint32(32 - DIMS.bit_length() + 1)
     counts = sum(np.bincount((x ^ (x >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> shift, minlength=DIMS) for x in (a, b, c))
-    return np.sqrt(counts / counts.sum()).astype(np.float32)
+    return np.sqrt(counts / counts.sum()).astype(np.float32), n
+
+
+def _machines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights, one row for each column of y, the last a constant's: least penalised squared hinge loss by accelerated
+    gradient steps. y is 1 or -1, or 0 for rows that a machine does not see; both its sides weigh the same."""
+    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    sides = [np.where(side, 0.5 / np.maximum(1, side.sum(0)), 0) for side in (y > 0, y < 0)]
+    pull = ((sides[0] + sides[1]) * y).astype(np.float32)
+    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    ahead, step = w, 1 / (PENALTY + 4)
+    for t in range(ROUNDS):
+        slack = np.maximum(0, 1 - y * (x @ ahead))
+        new = ahead - step * (PENALTY * ahead - 2 * (x.T @ (pull * slack)))
+        ahead, w = new + t / (t + 3) * (new - w), new
+    return w.T
+
+
+def _chance(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(4 * margin, -50, 50)))
+
+
+@dataclasses.dataclass
+class Rest:
+    """One machine for each label against the rest."""
+
+    labels: list[str]
+    weights: np.ndarray
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray) -> Rest:
+        labels = sorted(set(y.tolist()))
+        sides = np.where(y[:, None] == np.array(labels, dtype=object)[None, :], 1, -1).astype(np.float32)
+        return cls(labels, _machines(x, sides) if len(labels) > 1 else np.zeros((1, DIMS + 1), np.float32))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """(rows, labels): chances from the machines' margins."""
+        if len(self.labels) == 1:
+            return np.ones((len(x), 1))
+        return _chance(x @ self.weights[:, :-1].T + self.weights[:, -1])
 
 
 @dataclasses.dataclass
-class Machines:
-    """One-versus-one machines: weights of shape (pairs, DIMS + 1), the last a constant's."""
+class Pairwise:
+    """One machine for each pair of labels."""
 
     labels: list[str]
     pairs: list[tuple[int, int]]
     weights: np.ndarray
 
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray) -> Pairwise:
+        labels = sorted(set(y.tolist()))
+        at = np.array([labels.index(v) for v in y])
+        pairs = [(i, j) for i in range(len(labels)) for j in range(i)]
+        sides = np.array([np.where(at == i, 1, np.where(at == j, -1, 0)) for i, j in pairs], np.float32).reshape(len(pairs), len(at)).T
+        return cls(labels, pairs, _machines(x, sides) if pairs else np.zeros((0, DIMS + 1), np.float32))
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """(rows, labels): a label's mean chance against each other one, from the machines' margins."""
-        out = np.zeros((len(x), len(self.labels)))
+        """(rows, labels): a label's mean chance against each other one."""
         if len(self.labels) == 1:
-            return out + 1
-        margin = x @ self.weights[:, :-1].T + self.weights[:, -1]
-        chance = 1 / (1 + np.exp(-np.clip(4 * margin, -50, 50)))
+            return np.ones((len(x), 1))
+        chance, out = _chance(x @ self.weights[:, :-1].T + self.weights[:, -1]), np.zeros((len(x), len(self.labels)))
         for k, (i, j) in enumerate(self.pairs):
             out[:, i] += chance[:, k]
             out[:, j] += 1 - chance[:, k]
         return out / (len(self.labels) - 1)
 
 
-def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least penalised squared hinge loss by accelerated gradient steps; both sides weigh the same."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
-    ahead, step = w, 1 / (PENALTY + 4)
-    for t in range(ROUNDS):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - step * (PENALTY * ahead - 2 * (x.T @ (weight * y * slack)))
-        ahead, w = new + t / (t + 3) * (new - w), new
-    return w
+def length_class(n: int) -> int:
+    return int(n).bit_length()
+
 
+@dataclasses.dataclass
+class Center:
+    """A label's mean vector, and how alike a text of each length class has to be (0 where too few texts tell)."""
 
-def _machines(x: np.ndarray, y: list[str]) -> Machines:
-    labels = sorted(set(y))
-    at = np.array([labels.index(v) for v in y])
-    pairs = [(i, j) for i in range(len(labels)) for j in range(i)]
-    weights = np.zeros((len(pairs), DIMS + 1), np.float32)
-    for k, (i, j) in enumerate(pairs):
-        rows = (at == i) | (at == j)
-        weights[k] = _machine(x[rows], np.where(at[rows] == i, 1, -1).astype(np.float32))
-    return Machines(labels, pairs, weights)
+    mean: np.ndarray
+    least: list[float]
+
+    @classmethod
+    def fit(cls, x: np.ndarray, n: np.ndarray) -> Center:
+        mean = x.mean(0)
+        mean /= max(float(np.linalg.norm(mean)), 1e-9)
+        alike, classes = x @ mean, np.array([length_class(v) for v in n])
+        least, found = [], 0.0
+        for k in range(64):
+            if (classes == k).sum() >= MIN_CLASS:
+                found = SLACK * float(alike[classes >= k].min())
+            least.append(found)
+        return cls(mean, least)
 
 
 @dataclasses.dataclass
 class Model:
-    families: Machines | None
-    within: dict[str, Machines]
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        labels, scores = ["und"] * len(texts), [0.0] * len(texts)
-        found = [(i, v) for i, t in enumerate(texts) if self.families and t and (v := features(t)) is not None]
-        if not found:
-            return labels, scores
-        x = np.stack([v for _, v in found])
-        family = self.families.scores(x)
-        chosen = family.argmax(1)
-        for f in set(chosen.tolist()):
-            rows = np.nonzero(chosen == f)[0]
-            machines = self.within[self.families.labels[f]]
-            inner = machines.scores(x[rows])
-            best = inner.argmax(1)
-            for r, b, s in zip(rows, best, inner[np.arange(len(rows)), best], strict=True):
-                labels[found[r][0]] = machines.labels[b]
-                scores[found[r][0]] = float(s * family[r, f])
-        return labels, scores
+    families: Rest | None
+    within: dict[str, Pairwise]
+    centers: dict[str, Center]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Each text's label, score, and whether it is of a known language."""
+        labels, scores, known = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        for at in range(0, len(texts), SLICE_ROWS):
+            found = [(i, *v) for i, t in enumerate(texts[at : at + SLICE_ROWS], at) if self.families and t and (v := features(t)) is not None]
+            if not found:
+                continue
+            x = np.stack([v for _, v, _ in found])
+            family = self.families.scores(x)
+            chosen = family.argmax(1)
+            for f in set(chosen.tolist()):
+                rows = np.nonzero(chosen == f)[0]
+                machines = self.within[self.families.labels[f]]
+                inner = machines.scores(x[rows])
+                best = inner.argmax(1)
+                for r, b, s in zip(rows, best, inner[np.arange(len(rows)), best], strict=True):
+                    i, v, n = found[r]
+                    labels[i], scores[i] = machines.labels[b], float(s * family[r, f])
+                    center = self.centers[labels[i]]
+                    known[i] = bool(v @ center.mean >= center.least[length_class(n)])
+        return labels, scores, known
 
 
 def family_of(label: str) -> str:
     return next((k for k, v in FAMILIES.items() if label in v.split()), label)
 
 
-def fit(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
+def fit(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS, most_labels: int = MOST_LABELS) -> Model:
     """Machines from a bounded sample of the rows with a label. Counts go over all rows; the sample's vectors, a few KB
     each, come to the driver."""
-    src = df.select(df[text_col].alias("text"), df[label_col].cast("string").alias("label")).where("label is not null and text is not null")
-    counts = {r["label"]: r["n"] for r in src.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(train_rows // 20).collect()}
+    bounded_arrow(df.sparkSession)
+    src = df.select(df[text_col].alias("text"), df[label_col].cast("string").alias("label")).where("label is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    counts = {r["label"]: r["n"] for r in src.select("label", "h").distinct().groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()}
     if not counts:
-        return Model(None, {})
-    each = train_rows // len(counts)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * each / n))]), F.col("label"))
-    hashed = src.where(F.col("label").isin(*counts)).withColumn("h", F.xxhash64("text"))
-    hashed = hashed.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
+        return Model(None, {}, {})
+    each = max(MIN_EACH, train_rows // len(counts))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.5 * each + 50) / n))]), F.col("label"))
+    hashed = src.where(F.col("label").isin(*counts)).where(F.pmod("h", F.lit((1 << 62) - 1)) < share * float(1 << 62))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             got = [features(t) for t in batch.column("text").to_pylist()]
-            packed = [None if v is None else np.nonzero(v)[0].astype(np.uint16).tobytes() + v[v > 0].tobytes() for v in got]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.array(packed, pa.binary())], ["label", "h", "v"])
+            as_bytes = [None if v is None else np.nonzero(v[0])[0].astype(np.uint16).tobytes() + v[0][v[0] > 0].tobytes() for v in got]
+            n = [None if v is None else v[1] for v in got]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.array(as_bytes, pa.binary()), pa.array(n, pa.int64())], ["label", "h", "v", "n"])
 
-    rows = hashed.mapInArrow(vectors, "label string, h long, v binary").where("v is not null").groupBy("label", "h").agg(F.first("v").alias("v"))
+    rows = hashed.mapInArrow(released(vectors), "label string, h long, v binary, n long").where("v is not null").groupBy("label", "h").agg(F.first(F.struct("v", "n")).alias("v"))
     w = Window.partitionBy("label").orderBy("h")
-    rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).select("label", "v").collect()
+    rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).select("label", "v.v", "v.n").collect()
     if not rows:
-        return Model(None, {})
+        return Model(None, {}, {})
+    rows.sort(key=lambda r: (r["label"], r["v"]))  # the order of sums, too, is then the same in every run
     x = np.zeros((len(rows), DIMS), np.float32)
     for i, r in enumerate(rows):
         n = len(r["v"]) // 6
-        x[i, np.frombuffer(r["v"], np.uint16, n)] = np.frombuffer(r["v"], np.float32, n, 2 * n) if n % 2 == 0 else np.frombuffer(r["v"][2 * n :], np.float32)
-    y = [r["label"] for r in rows]
-    family = [family_of(v) for v in y]
-    within = {}
-    for f in set(family):
-        own = np.array([g == f for g in family])
-        within[f] = _machines(x[own], [v for v, o in zip(y, own, strict=True) if o])
-    return Model(_machines(x, family), within)
-
-
-def predict(df: DataFrame, model: Model, *, text_col: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df with two more columns; the model is a few vectors, sent along with the function."""
-    src = df.withColumns({label: F.lit(None).cast("string"), score: F.lit(None).cast("double")})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text_col, SLICE_BYTES):
-            labels, scores = model.predict(batch.column(text_col).to_pylist())
-            cols = [pa.array(labels, pa.string()) if n == label else pa.array(scores, pa.float64()) if n == score else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
-
-    return src.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in src.schema.fields]))
+        x[i, np.frombuffer(r["v"], np.uint16, n)] = np.frombuffer(r["v"][2 * n :], np.float32)
+    y, n = np.array([r["label"] for r in rows], dtype=object), np.array([r["n"] for r in rows])
+    family = np.array([family_of(v) for v in y], dtype=object)
+    within = {f: Pairwise.fit(x[family == f], y[family == f]) for f in set(family.tolist())}
+    return Model(Rest.fit(x, family), within, {v: Center.fit(x[y == v], n[y == v]) for v in set(y.tolist())})
 
 
 def held_out(id_col: Column) -> Column:
@@ -195,12 +239,29 @@ def report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lab
     """Per row: the id, held_out, lang_pred, score; learned from the rows that are not held out."""
     model = fit(df.where(~held_out(df[id_col])), text_col=text_col, label_col=label_col)
     src = df.select(df[id_col].alias("__id"), held_out(df[id_col]).alias("held_out"), df[text_col].alias("__text"))
-    out = predict(src, model, text_col="__text")
-    return out.select(F.col("__id").alias(id_col), "held_out", "lang_pred", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "__text", SLICE_BYTES):
+            labels, scores, _ = model.predict(batch.column("__text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("held_out"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
+
+    out = src.mapInArrow(released(run), f"id {src.schema['__id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return out.withColumnRenamed("id", id_col)
 
 
-def keep(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least_score: float = 0.3) -> DataFrame:
-    """The rows of df in a known language: those that are `und`, or whose score is below `least_score`, go."""
+def keep(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """The rows of df in a known language: those without letters, and those unlike every text of their predicted label, go.
+    Only texts go to Python; the other columns wait beside them."""
     model = fit(df.where(~held_out(df[id_col])), text_col=text_col, label_col=label_col)
-    out = predict(df, model, text_col=text_col, label="__lang", score="__score")
-    return out.where((F.col("__lang") != "und") & (F.col("__score") >= least_score)).select(*df.columns)
+
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for array in arrays:
+                parts = by_bytes([pa.RecordBatch.from_arrays([array], ["t"])], "t", SLICE_BYTES)
+                yield pa.array([k for part in parts for k in model.predict(part.column("t").to_pylist())[2]], pa.bool_())
+
+        yield from released(run)(texts)
+
+    rows = df.select(packed(df).alias("row"), df[text_col].alias("text")).withColumn("known", known("text"))
+    return unpacked(rows.where("known"), "row", df.columns)

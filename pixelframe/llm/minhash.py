@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelframe.llm.common import by_bytes, written
+from pixelframe.llm.common import bounded_arrow, by_bytes, released, written
 from pixelframe.llm.components import components
 
 HASHES, BATCH = 128, 32
@@ -46,7 +46,7 @@ MISS = 1e-6
 SMALL, BLOCK = 8, 512
 SLICE_BYTES = 2 << 20
 _word_hashes: dict[bytes, int] = {}
-_WORDS_HELD = 400_000
+_WORDS_HELD = 100_000
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +85,10 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(mixed)
 
 
+def forget() -> None:
+    _word_hashes.clear()
+
+
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """HASHES minima of multiply-shift hashes (upper 32 bits)."""
     low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
@@ -119,6 +123,7 @@ def survives(a: np.ndarray, b: np.ndarray, needed: list[tuple[int, int]]) -> np.
 def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, carry: list[str]) -> DataFrame:
     """(rid, id, n, d1, d2, bands, mini, packed, rest) of every row, written. rid tells rows apart; rest has the columns
     to carry along."""
+    bounded_arrow(df.sparkSession)
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.struct(F.lit(True).alias("__row"), *[df[c] for c in carry]).alias("rest"))
     n_bands, n_rows = banding(percent)
     id_type, rest_type = src.schema["id"].dataType, src.schema["rest"].dataType
@@ -149,7 +154,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
 
     kinds = T.StructType.fromDDL("rid long, i int, n long, d1 long, d2 long, bands array<long>, mini binary, packed binary")
     out = T.StructType([T.StructField("id", id_type) if f.name == "i" else f for f in kinds] + [T.StructField("rest", rest_type)])
-    return written(src.mapInArrow(sign, out), "signed")
+    return written(src.mapInArrow(released(sign, forget), out), "signed")
 
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -207,9 +212,9 @@ def _exact(pairs: DataFrame, texts: DataFrame, minis: DataFrame, width: int, per
 
     side = lambda t, c, x, y: t.select(F.col("c").alias(x), F.col(c).alias(y)).hint("merge")
     near = pairs.join(side(minis, "mini", "a", "ma"), "a").join(side(minis, "mini", "b", "mb"), "b").select("a", "b", "ma", "mb")
-    near = written(near.mapInArrow(prune, "a long, b long"), "survivors")
+    near = written(near.mapInArrow(released(prune), "a long, b long"), "survivors")
     full = near.join(side(texts, "packed", "b", "tb"), "b").join(side(texts, "packed", "a", "ta"), "a").select("a", "b", "ta", "tb")
-    return written(full.sortWithinPartitions("a").mapInArrow(verify, "u long, v long"), "verified")
+    return written(full.sortWithinPartitions("a").mapInArrow(released(verify, forget), "u long, v long"), "verified")
 
 
 def _across(weighed: DataFrame, minis: DataFrame, texts: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -331,6 +336,6 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 text = pa.array([None if x is None else plain(x).decode() for x in batch.column("packed").to_pylist()], pa.string())
                 yield batch.set_column(batch.schema.get_field_index("packed"), "packed", text)
 
-    out = flat.mapInArrow(unpack, shape)
+    out = flat.mapInArrow(released(unpack), shape)
     names = {id_col: "id", text_col: "packed"} | {c: f"c{i}" for i, c in enumerate(rest)}
     return out.select(*[F.col(names[c]).alias(c) for c in df.columns])

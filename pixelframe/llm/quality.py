@@ -10,8 +10,9 @@ prior by the method of moments (the spread between hosts beyond what chance give
 the corpus's rate. Verdicts go back to rows by a join on the host: broadcast if counted small, else sort-merge, whose
 skewed partitions AQE splits.
 
-Defined results: null text has no words and fails; a null host is a host of its own; an empty table gives an empty table;
-other columns are ignored by `report` and kept by `keep`.
+Defined results: null text has no words and fails; a null host is a host of its own; repeated rows are judged alike and
+count each; very long texts are measured whole; an empty table gives an empty table; other columns are ignored by `report`
+and kept by `keep`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import join_small, written
+from pixelframe.llm.common import join_small, packed, unpacked, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -80,12 +81,6 @@ def host_rates(rows: DataFrame) -> DataFrame:
     return hosts.withColumn("host_rate", (F.col("host_failed") + m * strength) / (F.col("host_rows") + strength))
 
 
-def judged(df: DataFrame, *, text_col: str = "text", host_col: str = "source", max_rate: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """Rows with their measures and host key, and the hosts' rates from all rows."""
-    rows = measured(df, text_col).withColumns({"__hnull": df[host_col].isNull(), "__host": F.coalesce(df[host_col].cast("string"), F.lit(""))})
-    return rows, host_rates(rows).withColumn("__host_ok", F.col("host_rate") <= max_rate)
-
-
 def report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.75) -> DataFrame:
     """Per row: the id, the measures, base_failed, host_rate and kept. The measures are written once and read twice."""
     rows = measured(df.select(df[id_col].alias("__id"), df[text_col].alias("__text"), F.col(host_col).isNull().alias("__hnull"), F.coalesce(df[host_col].cast("string"), F.lit("")).alias("__host")), "__text").drop("__text")
@@ -97,14 +92,13 @@ def report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def keep(df: DataFrame, *, text_col: str = "text", host_col: str = "source", max_rate: float = 0.75) -> DataFrame:
-    """The rows of df that pass their own rules and whose host passes. The text is measured twice (once for the hosts'
-    rates, once for the verdict), which moves no text between tasks."""
-    rows, hosts = judged(df, text_col=text_col, host_col=host_col, max_rate=max_rate)
-    hosts = written(hosts.select("__hnull", "__host", "__host_ok"), "verdicts")
-    # a row number in the condition keeps the optimizer from pushing it below the measures, which would copy their
-    # expressions into each other many times over
-    passed = rows.withColumn("__nth", F.monotonically_increasing_id()).where("not __base_failed and __nth >= 0")
-    return join_small(passed, hosts, ["__hnull", "__host"], "left", 60).where("__host_ok").select(*df.columns)
+    """The rows of df that pass their own rules and whose host passes. Texts are measured once: rows with their verdicts
+    are written (those that fail without their columns, as they only count for their host) and read twice."""
+    key = [df[host_col].isNull().alias("__hnull"), F.coalesce(df[host_col].cast("string"), F.lit("")).alias("__host")]
+    rows = measured(df.select(packed(df).alias("__row"), df[text_col].alias("__text"), *key), "__text")
+    rows = written(rows.select(F.when(~F.col("__base_failed"), F.col("__row")).alias("__row"), "__hnull", "__host", "__base_failed"), "judged")
+    hosts = written(host_rates(rows), "rates").where(F.col("host_rate") <= max_rate).select("__hnull", "__host")
+    return unpacked(join_small(rows.where("not __base_failed"), hosts, ["__hnull", "__host"], "inner", 80), "__row", df.columns)
 
 
 def oracle(max_rate: float = 0.75) -> str:
