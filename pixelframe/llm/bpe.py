@@ -5,27 +5,30 @@ word of its own), with A-Z in lower case. The tokenizer drops white space, never
 punctuation, and lowers case itself, so a text's ids are its words' ids one after another. The steps:
 
 1. `block_words`: rows are gathered, in the order they are read, into blocks of about BLOCK_BYTES of text. A block yields
-   each of its distinct words once, with its place in the block's list of words. This pre-aggregation keeps a frequent word
-   from being hot: it has one row per block, not one per occurrence.
-2. `word_table`: the rows meet by word; each distinct word is encoded once by the tokenizers library, and its ids go back
-   to the places of every block that has it (the word itself stays behind).
-3. `encode`: a block's texts meet the ids of its words, and the ids are put back by position in each text.
+   each of its distinct words once, in one packed row for each bucket of the words' hash. This pre-aggregation keeps a
+   frequent word from being hot: it comes once per block, not once per occurrence.
+2. `word_table`: a bucket's rows meet and follow one another; each distinct word is encoded once by the tokenizers library
+   (beyond WORDS_HELD words a bucket's table starts anew), and ids go back to every block that has the word, in the order
+   of its words, so neither words nor places travel.
+3. `block_pieces`: a block's distinct ids are joined with the id-to-piece table (as large as the vocabulary, so bounded).
+4. `encode`: a block's texts meet the ids of its words and the pieces of its ids, and both are put back by position.
 
-Decoding joins ids with the id-to-piece table (its size is the vocabulary's, so it is bounded) and puts the pieces
-together in order, as the tokenizer's decode() does for a file without a decoder: pieces joined by one space.
+Decoding puts the joined pieces together in order, as the tokenizer's decode() does for a file without a decoder: pieces
+joined by one space. `decode` does the same for any table of ids.
 
 A block's key is a hash of its texts and place, so that a block read twice in different orders (Spark promises none for
 inputs that are not files) does not meet another block's words; a block that meets none of its own encodes its words
 itself, so results don't depend on that.
 
-Defined results: null text is empty (no ids, empty decoded text); repeated rows give repeated rows; an empty table gives
-an empty table; other columns are ignored.
+Defined results: null text is empty (no ids, empty decoded text); repeated rows give repeated rows; a text longer than a
+block is a block of its own and is encoded whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelframe.llm.common import by_bytes
+from pixelframe.llm.common import bounded_arrow, by_bytes, release, released, written
 
-BLOCK_BYTES = 48 << 20
-SLICE_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
+#: Words whose ids a task holds for one bucket.
+WORDS_HELD = 500_000
+#: Buckets of words for each shuffle partition.
+BUCKETS = 2
 _tokenizers: dict = {}
 
 
@@ -117,70 +124,93 @@ def _runs(batches: list[pa.RecordBatch]) -> dict[bytes, None]:
     return out
 
 
-def block_words(src: DataFrame) -> DataFrame:
-    """(block, place, word): each distinct word of each block once."""
+def bucketed(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, ends): the words' order by bucket, and where each bucket's words end in it."""
+    at = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    return np.argsort(at, kind="stable"), np.cumsum(np.bincount(at, minlength=buckets))
+
+
+def block_words(src: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, words): each distinct word of each block once; a word holds no blank, so blanks part them."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
         for block, held in _blocks(batches):
             got = words_of(_runs(held))
-            for i in range(0, len(got), 50_000):
-                part = got[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.binary())], ["block", "place", "word"])
+            order, ends = bucketed(got, buckets)
+            starts = [0, *ends[:-1].tolist()]
+            rows = [(k, pack(b" ".join([got[i] for i in order[start:end]]))) for k, (start, end) in enumerate(zip(starts, ends.tolist(), strict=True)) if end > start]
+            del got, order
+            if rows:
+                k, packed = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([block] * len(k), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "block", "words"])
 
-    return src.mapInArrow(words, "block long, place int, word binary")
+    return src.mapInArrow(released(words), "bucket int, block long, words binary")
 
 
-def word_table(places: DataFrame, tokenizer_file: str) -> DataFrame:
-    """(block, n, packed): ids for n places of a block. Rows of a word meet in one partition and stand together, and the
-    word is encoded once for all of them; what a batch has for one block leaves it as one packed row."""
+def word_table(rows: DataFrame, tokenizer_file: str) -> DataFrame:
+    """(block, bucket, coded, token_ids): the ids of a block's words in a bucket, in their order, and the distinct ones."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_ids = None, b""
+        import zstandard
+
+        unpack, now, known = zstandard.ZstdDecompressor().decompress, None, {}
+        kind = id_kind(tokenizer_file)
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            if words and words[0] == last:  # the batch goes on with the word that ended the one before
-                ids = [last_ids, *encode_words(tokenizer_file, words[1:])]
-            else:
-                ids = encode_words(tokenizer_file, words)
-            if not words:
-                continue
-            last, last_ids = words[-1], ids[-1]
-            block, place, word = batch.column("block").to_numpy(), batch.column("place").to_numpy(), coded.indices.to_numpy()
-            order = np.argsort(block, kind="stable")
-            starts = np.nonzero(np.concatenate([[True], np.diff(block[order]) != 0]))[0]
-            groups = np.split(order, starts[1:])
-            rows = [(int(block[g[0]]), len(g), pack_places(place[g], [ids[w] for w in word[g]])) for g in groups]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "n", "packed"])
-
-    return places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, n int, packed binary")
-
-
-def pack_places(places: np.ndarray, ids: list[bytes]) -> bytes:
-    """Places, lengths of their ids, and the ids, compressed."""
+            coded, distinct = [], []
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if bucket != now or len(known) > WORDS_HELD:
+                    now, known = bucket, {}
+                words = unpack(packed).split(b" ")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encode_words(tokenizer_file, new), strict=True))
+                ids = [known[w] for w in words]
+                coded.append(pack_ids(ids))
+                distinct.append(np.unique(np.frombuffer(b"".join(ids), kind)).astype(np.int32))
+            if coded:
+                yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(coded, pa.binary()), pa.array(distinct, pa.list_(pa.int32()))], ["block", "bucket", "coded", "token_ids"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(encode), "block long, bucket int, coded binary, token_ids array<int>")
+
+
+def pack_ids(ids: list[bytes]) -> bytes:
+    """Lengths of the words' ids, and the ids, compressed."""
     import zstandard
 
-    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-    return zstandard.ZstdCompressor(level=3).compress(places.astype("<i4").tobytes() + sizes.astype("<i4").tobytes() + b"".join(ids))
+    sizes = np.fromiter(map(len, ids), "<i4", len(ids))
+    return zstandard.ZstdCompressor(level=3).compress(len(ids).to_bytes(4, "little") + sizes.tobytes() + b"".join(ids))
 
 
-def unpack_places(rows: pa.Table, n: int) -> list[bytes] | None:
-    """The ids of places 0 to n - 1; None if the rows do not hold just these."""
+def unpack_ids(coded: bytes) -> list[bytes]:
     import zstandard
 
-    counts = rows.column("n").to_pylist()
-    if sum(counts) != n:
+    raw = zstandard.ZstdDecompressor().decompress(coded)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<i4", n, 4))).tolist()
+    return [raw[start:end] for start, end in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
+
+
+def block_ids(coded: dict[int, bytes], words: list[bytes], buckets: int) -> list[bytes] | None:
+    """The ids of each word; None if the rows do not hold just these words."""
+    order, ends = bucketed(words, buckets)
+    parts = [unpack_ids(coded[k]) if k in coded else [] for k in range(buckets)]
+    if [len(p) for p in parts] != np.diff(ends, prepend=0).tolist():
         return None
-    out: list[bytes] = [b""] * n
-    for count, packed in zip(counts, rows.column("packed").to_pylist(), strict=True):
-        raw = zstandard.ZstdDecompressor().decompress(packed)
-        places, sizes = np.frombuffer(raw, "<i4", count), np.frombuffer(raw, "<i4", count, 4 * count)
-        ends = (8 * count + np.cumsum(sizes)).tolist()
-        for place, start, end in zip(places.tolist(), [8 * count, *ends[:-1]], ends, strict=True):
-            out[place] = raw[start:end]
+    out: list[bytes] = [b""] * len(words)
+    for i, ids in zip(order.tolist(), (x for p in parts for x in p), strict=True):
+        out[i] = ids
     return out
 
 
+def block_pieces(coded: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(block, pieces): a block's distinct ids with their pieces. An id that the table lacks has no piece."""
+    ids = coded.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("token_ids"))).alias("ids"))
+    met = ids.select("block", F.explode("ids").alias("token_id")).join(F.broadcast(pieces), "token_id")
+    return met.groupBy("block").agg(F.collect_list(F.struct("token_id", "piece")).alias("pieces"))
+
+
 def block_texts(src: DataFrame) -> DataFrame:
     """(block, nth, rows): a block's ids and texts as compressed Arrow slices, which are small to move."""
 
@@ -193,38 +223,43 @@ def block_texts(src: DataFrame) -> DataFrame:
                     w.write_batch(batch)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([nth], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "nth", "rows"])
 
-    return src.mapInArrow(pack, "block long, nth int, rows binary")
+    return src.mapInArrow(released(pack), "block long, nth int, rows binary")
 
 
 def encode(df: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Per row: the id and `ids` (array of int). With `digests`, what the contract wants of the ids and of the decoded
     text instead, made block by block so that neither leaves its task: n_tokens, ids_sha256, decoded_sha256."""
+    spark = df.sparkSession
+    bounded_arrow(spark)
     src = df.select(df[id_col].alias("__id"), df[text_col].alias("__text"))
     id_type = src.schema["__id"].dataType.simpleString()
     fields = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>"]
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "ids"]
     kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32())]
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def assemble(texts: pa.Table, coded: pa.Table) -> pa.Table:
+    def assembled(texts: pa.Table, coded: pa.Table) -> pa.Table:
         order = np.argsort(texts.column("nth").to_numpy())
         held = [batch for k in order for batch in pa.ipc.open_stream(texts.column("rows")[int(k)].as_buffer())]
         if not held:
             return pa.table([pa.array([], k) for k in [pa.int64(), *kinds]], names=names)
         runs = _runs(held)
         words = words_of(runs)
-        ids = unpack_places(coded, len(words))
-        if ids is None:
-            ids = encode_words(tokenizer_file, words)
-        book = dict(zip(words, ids, strict=True))
+        ids = block_ids({k: x for k, x in zip(coded.column("bucket").to_pylist(), coded.column("coded").to_pylist(), strict=True) if x is not None}, words, buckets)
+        if digests and ids is not None:
+            piece = {p["token_id"]: p["piece"] for row in coded.column("pieces") if row.is_valid for p in row.as_py()}
+        else:
+            piece = dict(enumerate(pieces_of(tokenizer_file))) if digests else {}
+        book = dict(zip(words, encode_words(tokenizer_file, words) if ids is None else ids, strict=True))
+        del words, ids
         narrow = id_kind(tokenizer_file)
-        wide = {r: np.frombuffer(b"".join([book[w] for w in parts_of(r)]), narrow).astype("<u4") for r in runs}
-        del book, words, ids
-        shown = {}
-        if digests:
-            pieces = np.array(pieces_of(tokenizer_file), dtype=object)
-            shown = {r: " ".join(pieces[x]) for r, x in wide.items()}
-        wide = {r: x.tobytes() for r, x in wide.items()}
-        del runs
+        wide, shown = {}, {}
+        for r in runs:
+            x = np.frombuffer(b"".join([book[w] for w in parts_of(r)]), narrow)
+            wide[r] = x.astype("<u4").tobytes()
+            if digests:
+                shown[r] = " ".join([piece[i] for i in x.tolist() if i in piece])
+        del book, runs
         out: list[list] = [[] for _ in kinds]
         for batch in held:
             for text in batch.column("__text").cast(pa.binary()).to_pylist():
@@ -239,7 +274,18 @@ def encode(df: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_c
         ids_back = pa.chunked_array([b.column("__id") for b in held])
         return pa.table([ids_back, *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=names)
 
-    coded = word_table(block_words(src), tokenizer_file)
+    def assemble(texts: pa.Table, coded: pa.Table) -> pa.Table:
+        try:
+            return assembled(texts, coded)
+        finally:
+            release()
+
+    table = written(word_table(block_words(src, buckets), tokenizer_file), "word-ids")
+    shape = "array<struct<token_id: int, piece: string>>"
+    coded = table.select("block", "bucket", "coded", F.lit(None).cast(shape).alias("pieces"))
+    if digests:
+        pieces = block_pieces(table, piece_table(spark, tokenizer_file))
+        coded = coded.unionByName(pieces.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("coded"), F.col("pieces").cast(shape)))
     got = block_texts(src).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, f"id {id_type}, " + ", ".join(fields))
     return got.withColumnRenamed("id", id_col)
 

@@ -88,7 +88,23 @@ def test_empty_table_and_null_ids(spark):
 def test_a_block_without_its_words_encodes_them(spark, monkeypatch):
     path = tokenizer_path("word_bpe_49k.json")
     real = bpe.block_words
-    monkeypatch.setattr(bpe, "block_words", lambda src: real(src).where("place > 0"))
+    monkeypatch.setattr(bpe, "block_words", lambda src, buckets: real(src, buckets).where("words is null"))
     df = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
-    _, want = library("word_bpe_49k.json", [(1, "some words here")])
+    t, want = library("word_bpe_49k.json", [(1, "some words here")])
     assert bpe.encode(df, path).first()["ids"] == want[0].ids
+    assert bpe.encode(df, path, digests=True).first()["decoded_sha256"] == hashlib.sha256(t.decode(want[0].ids).encode()).hexdigest()
+
+
+def test_decoded_text_comes_through_the_piece_table(spark, monkeypatch):
+    path = tokenizer_path("word_bpe_49k.json")
+    real = bpe.piece_table
+    monkeypatch.setattr(bpe, "piece_table", lambda *a: real(*a).selectExpr("token_id", "concat('<', piece, '>') AS piece"))
+    t, want = library("word_bpe_49k.json", [(1, "some words here, some")])
+    got = bpe.encode(spark.createDataFrame([(1, "some words here, some")], "doc_id long, text string"), path, digests=True).first()
+    assert got["decoded_sha256"] == hashlib.sha256(" ".join(f"<{t.id_to_token(i)}>" for i in want[0].ids).encode()).hexdigest()
+
+
+def test_words_beyond_a_task_s_table(docs, rows, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_HELD", 20)
+    _, want = library("word_bpe_49k.json", rows)
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode(docs, tokenizer_path("word_bpe_49k.json")).collect()} == {i: e.ids for (i, _), e in zip(rows, want, strict=True)}
