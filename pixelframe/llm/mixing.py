@@ -2,18 +2,21 @@
 
 Sources weigh `weights`, repeated, in code-point order of their names (null last), and share all words by weight; a target
 stops at `max_copies` times its source's words, and the excess is shared again by weight until none is above. A document
-of a source with T target words out of S gets floor(T / S) certain whole copies; of the rest, want = T - floor(T / S) * S
-words, a Pareto order sample is drawn: each document has U from a hash of its id and text and the inclusion probability
-p = want / S of its source, ranks by (U / (1 - U)) / (p / (1 - p)), and the lowest ranks are taken up to the cut at which
+of a source with T target words out of S gets floor(T / S) certain whole copies. Of the rest, want = T - floor(T / S) * S
+words, a Pareto order sample with unequal inclusion probabilities is drawn: with p = want / S, a document's inclusion odds
+are p / (1 - p) * sqrt(mean size of its source / its size), so that the wanted words come from more documents and no long
+one takes them all (a factor that a whole source shares changes no rank, so the odds need no calibration). Each document
+has U from a hash of its id and text and ranks by (U / (1 - U)) / odds; the lowest ranks are taken up to the cut at which
 the words taken come nearest to want (the fixed size, in words; of two equally near cuts the lower).
 
-The cut is found without sorting a source in one task: words are summed by source and the first 16 bits of U; the running
-sum over those at most 65,536 sums names the one bin where want is reached, and only that bin's rows (1 / 65,536 of the
-source) are sorted. A source's verdict is then two numbers, joined back to the rows; rows themselves are never shuffled.
+The cut is found without sorting a source in one task: words are summed by source and bins of the rank r, the first
+BIN_BITS bits of r / (1 + r); the running sum over those at most 65,536 sums names the one bin where want is reached, and
+only that bin's rows are sorted. The cut lies near r = 1, where bins are finest. A source's verdict is then a few numbers,
+joined back to the rows; rows themselves are never shuffled.
 
-Defined results: null text has size 0; a source without words has target 0; rows that agree in id and text share one U and
-are taken or left together; an empty table gives an empty table; other columns pass through `mixed` untouched (its own
-columns are named with two leading underscores).
+Defined results: null text has size 0, and counts as size 1 in its odds; a source without words has target 0; rows that
+agree in id and text share one U and are taken or left together; very long texts are counted whole; an empty table gives an
+empty table; `take` keeps the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import join_small, written
+from pixelframe.llm.common import join_small, packed, unpacked, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bits of U, and of the bins whose words are summed.
+#: Bits of U, and of the bins of ranks whose words are summed.
 BITS, BIN_BITS = 52, 16
 
 
@@ -50,8 +53,9 @@ def ranked(sources: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], max_copies: int) -> DataFrame:
-    """(__snull, __s, source_size, target): shares by weight, capped; the excess is shared again until none is above."""
-    sources = sizes.groupBy("__snull", "__s").agg(F.sum("__size").alias("source_size"))
+    """(__snull, __s, source_size, filled, target): shares by weight, capped; the excess is shared again until none is
+    above. `filled` counts the rows with words."""
+    sources = sizes.groupBy("__snull", "__s").agg(F.sum("__size").alias("source_size"), F.count(F.when(F.col("__size") > 0, 1)).alias("filled"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     sources = written(ranked(sources).withColumn("w", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))), "weights")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -62,47 +66,49 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_copies: int) -> Data
         if row[2] == capped or not row[1]:
             break
         level, capped = (total - row[0]) / row[1], row[2]
-    return sources.select("__snull", "__s", "source_size", F.least(F.col("w") * level, F.col("source_size") * float(max_copies)).alias("target"))
+    return sources.select("__snull", "__s", "source_size", "filled", F.least(F.col("w") * level, F.col("source_size") * float(max_copies)).alias("target"))
+
+
+def rank_value() -> Column:
+    """A row's Pareto rank from its __u and __size and its source's want, source_size and filled; null where no sample is drawn."""
+    unit = (F.col("__u") + 0.5) / float(1 << BITS)
+    p = F.when(F.col("want") > 0, F.col("want") / F.col("source_size"))
+    odds = (p / (1 - p)) * F.sqrt((F.col("source_size") / F.col("filled")) / F.greatest("__size", F.lit(1)))
+    return (unit / (1 - unit)) / odds
 
 
 def mixed(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3) -> DataFrame:
-    """df with __size, __source_size, __target, __pareto (the rank value; null where no sample is drawn) and __copies (how
-    often the mix takes the row, 0 to max_copies)."""
-    rows = df.withColumns({
-        "__size": F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long"),
-        "__u": unit_hash(df[id_col], df[text_col]),
-        "__snull": df[source_col].isNull(),
-        "__s": F.coalesce(df[source_col].cast("string"), F.lit("")),
-    })
-    sizes = written(rows.select("__snull", "__s", "__size", "__u"), "sizes")
-    key = ["__snull", "__s"]
+    """Per row: `row` (its columns, as `packed` puts them), id, size, source_size, target, pareto (its rank; null where no
+    sample is drawn) and copies (how often the mix takes it, 0 to max_copies)."""
+    key, bin_of = ["__snull", "__s"], F.floor(F.col("pareto") / (1 + F.col("pareto")) * float(1 << BIN_BITS)).cast("int")
+    rows = df.select(
+        packed(df).alias("row"), df[id_col].alias("id"),
+        F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("__size"), unit_hash(df[id_col], df[text_col]).alias("__u"),
+        df[source_col].isNull().alias("__snull"), F.coalesce(df[source_col].cast("string"), F.lit("")).alias("__s"),
+    )
+    sizes = written(rows.select(*key, "__size", "__u"), "sizes")
     plan = targets(sizes, weights, max_copies)
     sure = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     plan = written(plan.withColumn("sure", sure).withColumn("want", F.col("target") - F.col("sure") * F.col("source_size")), "plan")
     n_sources = plan.count()
 
-    bins = sizes.groupBy(*key, F.shiftright("__u", BITS - BIN_BITS).alias("bin")).agg(F.sum("__size").alias("words"))
+    sampled = join_small(sizes, plan.where("want > 0"), key, "inner", 140, n_sources).withColumn("pareto", rank_value())
+    sampled = sampled.select(*key, "want", "__size", "pareto", bin_of.alias("bin"))
+    bins = sampled.groupBy(*key, "want", "bin").agg(F.sum("__size").alias("words"))
     upto = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("upto", F.sum("words").over(upto))
-    bins = join_small(bins, plan.where("want > 0"), key, "inner", 120, n_sources)
-    bins = bins.where("upto >= want and upto - words < want").select(*key, "bin", (F.col("upto") - F.col("words")).alias("below"), "want")
-    bins = written(bins, "crossing")
-
-    inside = join_small(sizes, bins, key, "inner", 120, n_sources).where(F.shiftright("__u", BITS - BIN_BITS) == F.col("bin"))
-    inside = inside.groupBy(*key, "bin", "below", "want", "__u").agg(F.sum("__size").alias("words"))
-    inside = inside.select(*key, "want", "__u", (F.col("below") + F.sum("words").over(Window.partitionBy(*key).orderBy("__u"))).alias("upto"))
-    none = bins.select(*key, "want", (F.shiftleft("bin", BITS - BIN_BITS) - 1).alias("__u"), F.col("below").alias("upto"))
-    cuts = inside.unionByName(none).groupBy(*key).agg(F.min(F.struct(F.abs(F.col("upto") - F.col("want")).alias("off"), "__u"))["__u"].alias("cut"))
-
-    verdict = written(plan.join(cuts, key, "left"), "verdict")
-    out = join_small(rows, verdict, key, "left", 140, n_sources)
-    unit = (F.col("__u") + 0.5) / float(1 << BITS)
-    p = F.when((F.col("want") > 0) & (F.col("want") < F.col("source_size")), F.col("want") / F.col("source_size"))
-    return out.select(
-        *[rows[c] for c in df.columns], F.col("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-        ((unit / (1 - unit)) / (p / (1 - p))).alias("__pareto"),
-        (F.col("sure") + F.when(F.col("__u") <= F.col("cut"), 1).otherwise(0)).alias("__copies"),
-    )
+    bins = bins.withColumn("upto", F.sum("words").over(upto)).where("upto >= want and upto - words < want")
+    bins = written(bins.select(*key, "bin", (F.col("upto") - F.col("words")).alias("below"), "want"), "crossing")
+
+    inside = join_small(sampled.drop("want"), bins, [*key, "bin"], "inner", 140, n_sources)
+    inside = inside.groupBy(*key, "bin", "below", "want", "pareto").agg(F.sum("__size").alias("words"))
+    inside = inside.select(*key, "bin", "want", "pareto", (F.col("below") + F.sum("words").over(Window.partitionBy(*key).orderBy("pareto"))).alias("upto"))
+    none = bins.select(*key, "bin", "want", F.lit(-1.0).alias("pareto"), F.col("below").alias("upto"))
+    cuts = inside.unionByName(none).groupBy(*key, "bin").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("want")).alias("off"), "pareto"))["pareto"].alias("cut"))
+
+    verdict = written(plan.join(cuts.withColumnRenamed("bin", "cut_bin"), key, "left"), "verdict")
+    out = join_small(rows, verdict, key, "left", 180, n_sources).withColumn("pareto", rank_value())
+    drawn = (bin_of < F.col("cut_bin")) | ((bin_of == F.col("cut_bin")) & (F.col("pareto") <= F.col("cut")))
+    return out.select("row", "id", F.col("__size").alias("size"), "source_size", "target", "pareto", (F.col("sure") + F.when(drawn, 1).otherwise(0)).alias("copies"))
 
 
 def report(df: DataFrame, **options) -> DataFrame:
@@ -110,13 +116,13 @@ def report(df: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     text_col, source_col = options.get("text_col", "text"), options.get("source_col", "source")
     got = mixed(df.select(id_col, text_col, source_col), **options)
-    return got.select(id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"), F.col("__copies").alias("copies"))
+    return got.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "pareto")
 
 
 def take(df: DataFrame, **options) -> DataFrame:
     """The mix itself: each row as often as the mix takes it, with the columns of df."""
     got = mixed(df, **options)
-    return got.where("__copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*df.columns)
+    return unpacked(got.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))), "row", df.columns)
 
 
 ORACLE = r"""
@@ -125,7 +131,7 @@ WITH d AS (
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS u
   FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS filled,
          [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
   FROM d GROUP BY source
 ), o AS (
@@ -136,19 +142,24 @@ WITH d AS (
 ), level AS (
   SELECT arg_min((total - capped)::DOUBLE / left_w, 3 * source_size / w) AS l FROM o WHERE 3 * source_size / w >= (total - capped)::DOUBLE / left_w
 ), t AS (
-  SELECT source, source_size, least(w * l, 3.0::DOUBLE * source_size) AS target,
+  SELECT source, source_size, filled, least(w * l, 3.0::DOUBLE * source_size) AS target,
          CASE WHEN source_size > 0 THEN floor(least(w * l, 3.0::DOUBLE * source_size) / source_size) ELSE 0 END AS sure
   FROM s, level
-), r AS (
-  SELECT d.*, t.source_size, t.target, t.sure, t.target - t.sure * t.source_size AS want,
-         sum(size) OVER (PARTITION BY d.source ORDER BY u) AS upto
+), e AS (
+  SELECT d.*, t.source_size, t.filled, t.target, t.sure, t.target - t.sure * t.source_size AS want, (d.u + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS unit
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), o2 AS (
+  SELECT *, CASE WHEN want > 0 THEN want / source_size END AS p FROM e
+), r AS (
+  SELECT *, (unit / (1 - unit)) / ((p / (1 - p)) * sqrt((source_size / filled) / greatest(size, 1))) AS pareto FROM o2
+), k AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pareto) AS upto FROM r
 ), c AS (
   SELECT source, min({'off': abs(upto - want), 'upto': upto}).upto AS cut
-  FROM (SELECT source, want, upto FROM r UNION ALL SELECT source, any_value(want), 0 FROM r GROUP BY source) GROUP BY source
+  FROM (SELECT source, want, upto FROM k UNION ALL SELECT source, any_value(want), 0 FROM k GROUP BY source) GROUP BY source
 )
-SELECT doc_id, size, r.source_size::BIGINT AS source_size, r.target,
-       ((r.sure + CASE WHEN r.want > 0 AND r.upto <= c.cut THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
-       (r.sure + CASE WHEN r.want > 0 AND r.upto <= c.cut THEN 1 ELSE 0 END)::INT AS copies
-FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source
+SELECT doc_id, size, k.source_size::BIGINT AS source_size, k.target, pareto,
+       ((k.sure + CASE WHEN k.want > 0 AND k.upto <= c.cut THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
+       (k.sure + CASE WHEN k.want > 0 AND k.upto <= c.cut THEN 1 ELSE 0 END)::INT AS copies
+FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source
 """

@@ -9,6 +9,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from pixelframe.llm import components, language, licenses, minhash, mixing, quality, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,8 +59,9 @@ def test_quality(spark, monkeypatch):
     rate = {s: (sum(x) + m * strength) / (len(x) + strength) for s, x in hosts.items()}
     kept = {i: not want[i][5] and rate[s] <= 0.75 for i, _, _, s in rows}
     assert {r["doc_id"]: r["kept"] for r in got} == kept and not kept[990] and rate["junk"] > 0.75
-    stays = quality.keep(frame(spark, [(*r, 1, "c") for r in rows], ", __n int, n_words string"))
-    assert sorted(r["doc_id"] for r in stays.collect()) == sorted(i for i, k in kept.items() if k) and stays.columns[-1] == "n_words"
+    stays = quality.keep(frame(spark, [(*r, 1, "c", 2, 3, 4) for r in rows], ", __words int, n_words string, __host int, __row int, __base_failed int"))
+    assert Counter(r["doc_id"] for r in stays.collect()) == Counter(i for i, *_ in rows if kept[i]) and stays.columns[-1] == "__base_failed"
+    assert {tuple(r)[4:] for r in stays.collect()} == {(1, "c", 2, 3, 4)}
 
 
 def test_quality_of_nothing(spark):
@@ -153,8 +156,29 @@ def test_language(spark):
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (900, 901, 902))
     held = [(by[i]["lang_pred"], lang) for i, _, lang, _ in rows if by[i]["held_out"]]
     assert sum(a == b for a, b in held) / len(held) > 0.97
-    assert {r["doc_id"] for r in language.keep(df).collect()} >= {i for i, *_ in rows}
-    assert language.keep(df).columns == df.columns
+    more = spark.createDataFrame([(1000, "漢字だけの文章はどのラベルにも似ていない" * 9), (1001, "ქართული ენა არ არის ნასწავლი და არც ერთს ჰგავს " * 9), (1002, " ".join(SAMPLE["fr"].split() * 9000))], "doc_id long, text string")
+    mixed = df.withColumnsRenamed({"lang_pred": "__lang", "score": "row"}).unionByName(more, allowMissingColumns=True)
+    kept = language.keep(mixed)
+    assert {r["doc_id"] for r in kept.collect()} == {*(i for i, *_ in rows), 903, None, 1002}
+    assert kept.columns == mixed.columns and {(r["__lang"], r["row"]) for r in kept.collect() if r["doc_id"] == 5} == {("p", "q")}
+
+
+def test_language_with_copies_and_with_many_labels(spark):
+    r = random.Random(6)
+    say = lambda lang, n: " ".join(r.choice(SAMPLE[lang].split()) for _ in range(n))
+    rows = [(i, SAMPLE["fr"] if i % 2 else say("fr", 25) if i % 100 == 0 else SAMPLE["fr"], "fr", "s") for i in range(6000)]
+    rows += [(10_000 + i, say("en", 25), "en", "s") for i in range(300)] + [(20_000 + i, say("de", 25), "de", "s") for i in range(300)]
+    df = frame(spark, rows).repartition(4)
+    model = language.fit(df, train_rows=60)
+    assert sorted(model.centers) == ["de", "en", "fr"]
+    assert model.predict([SAMPLE["fr"], SAMPLE["en"], SAMPLE["de"], None, "7"])[0] == ["fr", "en", "de", "und", "und"]
+    # 150 labels, each with an alphabet of its own; none is left out
+    labels = [f"x{k}" for k in range(150)]
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + r.randrange(40)) for _ in range(4))
+    many = [(k * 100 + i, " ".join(word(k) for _ in range(12)), labels[k], "s") for k in range(150) for i in range(6)]
+    model = language.fit(frame(spark, many).repartition(4))
+    assert sorted(model.centers) == sorted(labels)
+    assert np.mean([a == b for a, b in zip(model.predict([" ".join(word(k) for _ in range(12)) for k in range(150)])[0], labels, strict=True)]) > 0.9
 
 
 def test_language_does_not_learn_from_held_out_rows(spark):
@@ -204,11 +228,34 @@ def test_mixing(spark):
         taken[s] += g["taken"]
         largest[s] = max(largest[s], g["size"])
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in by)
+    # the same sample by sorting: odds differ between documents of a source, and the least ranks are taken
+    text = {i: t for i, t, _, _ in rows}
+    filled = Counter(s for i, _, _, s in rows if size[i])
+    ranks, copies = {}, {g["doc_id"]: g["copies"] for g in got}
+    for s in by:
+        want = target[s] - math.floor(target[s] / by[s]) * by[s] if by[s] else 0
+        if want <= 1e-6:
+            continue
+        for i, of in source.items():
+            if of == s:
+                bits = int(hashlib.md5(f"{i}:{hashlib.md5((text[i] or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16)
+                u, p = (bits + 0.5) / 2**52, want / by[s]
+                ranks[i] = u / (1 - u) / (p / (1 - p) * math.sqrt(by[s] / filled[s] / max(size[i], 1)))
+        order = sorted((ranks[i], i) for i, of in source.items() if of == s)
+        sums = [0]
+        for _, i in order:
+            sums.append(sums[-1] + size[i])
+        cut = min(range(len(sums)), key=lambda k: abs(sums[k] - want))
+        base = math.floor(target[s] / by[s])
+        drawn = {i for _, i in order[:cut]}
+        assert all(size[i] == 0 or copies[i] == base + (i in drawn) for _, i in order)
+    assert len(ranks) > 50 and all(math.isclose(g["pareto"], ranks[g["doc_id"]], rel_tol=1e-6) for g in got if g["doc_id"] in ranks)
     again = mixing.report(frame(spark, rows).repartition(5)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
-    mix = mixing.take(frame(spark, [(*x, 1) for x in rows], ", copies int"))
+    clashing = ", copies int, __size int, __u int, __s int, size int, row int, pareto int"
+    mix = mixing.take(frame(spark, [(*x, 1, 2, 3, 4, 5, 6, 7) for x in rows], clashing))
     assert Counter(m["doc_id"] for m in mix.collect()) == Counter({g["doc_id"]: g["copies"] for g in got if g["copies"]})
-    assert mix.columns[-1] == "copies"
+    assert mix.columns[4:] == ["copies", "__size", "__u", "__s", "size", "row", "pareto"] and {tuple(m)[4:] for m in mix.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
 
 
 def test_mixing_of_nothing(spark):
