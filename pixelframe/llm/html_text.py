@@ -1,28 +1,35 @@
 """Main text of web pages by wrapper induction.
 
 A page's tree is made of its block elements; neighbouring siblings with the same label (tag, classes, id, digits dropped)
-fold into one node, so a list or a run of paragraphs is one slot. Pages of a host are aligned:
-
-1. Each page's folded tree, its shape, is counted by host (partial sums first). The most frequent shape is the host's
-   reference.
-2. Every page's tree is aligned with the reference by simple tree matching: roots with equal labels match, and among
-   their children the order-preserving pairing with the most matched nodes is taken, recursively.
-3. For every reference node the pages' text at that node is compared: how many distinct pages, how many agree with the most
-   frequent text, how long. A node whose text is the same on nearly all pages is template; the others are slots.
-4. The host's wrapper names the content node: an article or main element if the template has one, else the node under
-   which most varying text lies. Page parts that are menus, headers, footers, sidebars, notices, adverts, forms or reader
-   comments by their tag, class, id or role are never content, whether they vary or not.
-5. Each page's text is what lies in its content node, without those parts and without constant nodes. In a page
-   without it the nearest node around it counts that the page has, or else the same rule on the page's own tree.
-
-Constant nodes inside the content go only with evidence: at least MIN_PAGES distinct pages, all but MAX_OTHER of which
+fold into one node, so a list or a run of paragraphs is one slot (bare div and section elements with blocks in them do
+not). Pages of a host are aligned:
+
+1. Each page is parsed once for its folded tree, its shape, and a digest of the text of each of its blocks; these are
+   written. Shapes are counted by host (partial sums first); the most frequent one is the host's reference.
+2. Every page's tree is aligned with the reference by simple tree matching: nodes with equal labels match, and among
+   their children the order-preserving pairing with the most matched nodes is taken, all the way down.
+3. For every reference node the pages' texts at that node are compared. A text that nearly all distinct pages have there
+   is template; the rest vary, and the node is a slot.
+4. The host's content node is found by where the varying text of its pages lies: from the root down, as long as one child
+   holds at least DOMINANT of it. Tags and classes break ties among the nodes of that path (an article or main element, or
+   a container of such a name, else the deepest), and decide where no child dominates. Parts that are menus, headers,
+   footers, sidebars, notices, adverts, forms or reader comments by their tag, class, id or role hold no content; a class
+   word is overruled only by an article or main element in it with most of the text.
+5. Each page's text is what lies in its content node, without those parts and without template texts. A page that lacks
+   the node uses the nearest node around it that it has below body, or else the same rule on its own tree.
+
+Template texts inside the content go only with evidence: at least MIN_PAGES distinct pages, all but MAX_OTHER of which
 agree, and only if they are at most MAX_CONSTANT of the content's text (else the host repeats an article, not a frame).
 
 Text: character references are decoded; a block's white space becomes one space; blocks are joined in page order by one
-space. Hosts' wrappers meet pages by a join on the host (broadcast if counted small, else sort-merge with AQE's splits).
+space. Hosts' wrappers meet pages by a join on the host (broadcast if small by their summed bytes, else sort-merge with
+AQE's splits).
 
 Defined results: null or empty html has empty text and 0 characters; a null url is a host of its own; repeated rows give
-repeated rows and count once for a wrapper; an empty table gives an empty table; other columns are ignored.
+repeated rows and count once for a wrapper; nothing here recurses, so a page may be nested to any depth, and a node of more
+than WIDE children folds all those of one label (then of one tag), which changes alignment only; a raw element that closes
+itself is empty, and one of NEVER_RAW that is never closed hides nothing; an empty table gives an empty table; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,50 +37,71 @@ from __future__ import annotations
 import functools
 import hashlib
 import html
-import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import by_bytes, join_small, written
+from pixelframe.llm.common import bounded_arrow, by_bytes, join_small, released, written
 
-MIN_PAGES, MAX_OTHER, MAX_CONSTANT = 5, 0.1, 0.3
+MIN_PAGES, MAX_OTHER, MAX_CONSTANT, DOMINANT = 5, 0.1, 0.3, 0.8
+WIDE, MATCHES_HELD, MATCHES_CHARS = 300, 2000, 4 << 20
 SLICE_BYTES = 2 << 20
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKENS = re.compile(r"[a-z]+")
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe template textarea title svg math object canvas select button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript iframe template textarea title svg object canvas select button".split())
+NEVER_RAW = frozenset("svg object canvas select button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover semantics annotation".split())
 ENDS_P = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
 SCOPES = frozenset("ul ol dl table html body article section div td th".split())
 # What is never content, by tag and by words of class, id and role.
 BOILERPLATE_TAGS = frozenset("head nav footer aside form dialog menu".split())
 BOILERPLATE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot banner banners sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer footers masthead header topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comment comments commentlist respond disqus reply replies pagination pager skip copyright legal disclaimer form".split())
+INLINE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion share sharing social popup newsletter subscribe signup".split())
 CONTENT_WORDS = frozenset("article content post entry story main body maincontent articlebody postbody".split())
 
 
 class Node:
-    """A block element: its label, what is in it in order (text pieces and nodes)."""
+    """A block element, or an inline one that is no content: its label, what is in it in order (text pieces and nodes)."""
 
-    __slots__ = ("items", "label", "tag", "words")
+    __slots__ = ("inline", "items", "label", "tag", "words")
 
-    def __init__(self, tag: str, label: str, words: frozenset[str]) -> None:
-        self.tag, self.label, self.words, self.items = tag, label, words, []
+    def __init__(self, tag: str, label: str, words: frozenset[str], inline: bool = False) -> None:
+        self.tag, self.label, self.words, self.items, self.inline = tag, label, words, [], inline
 
     @property
-    def boilerplate(self) -> bool:
-        if self.tag in BOILERPLATE_TAGS:
-            return True
-        if self.tag in ("html", "body", "article", "main"):
-            return False
-        found = self.words & BOILERPLATE_WORDS
-        return bool(found) and not (found <= {"header"} and self.words & CONTENT_WORDS)  # an article's own head is content
+    def blocks(self) -> list[Node]:
+        return [x for x in self.items if not isinstance(x, str) and not x.inline]
+
+    @property
+    def own_text(self) -> str:
+        return " ".join(x for x in self.items if isinstance(x, str)).strip()
+
+
+@functools.lru_cache(4096)
+def boilerplate(label: str) -> str:
+    """What says that a node of this label is no content: "tag", "word", or nothing."""
+    tag, *words = label.split(".")
+    if tag in BOILERPLATE_TAGS:
+        return "tag"
+    if tag in ("html", "body", "article", "main"):
+        return ""
+    found = BOILERPLATE_WORDS.intersection(words)
+    return "word" if found and not (found <= {"header"} and CONTENT_WORDS.intersection(words)) else ""  # an article's own head is content
+
+
+def standing(label: str) -> int:
+    """How much a label says that its node is the content."""
+    tag, *words = label.split(".")
+    return 3 if tag == "article" else 2 if tag == "main" else int(tag in ("div", "section", "td") and bool(CONTENT_WORDS.intersection(words)))
 
 
 @functools.lru_cache(4096)
@@ -85,10 +113,27 @@ def _described(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
     return ".".join([tag, *words]), frozenset(words)
 
 
+@functools.cache
+def _close_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 def parse(page: str) -> Node:
-    """The page's block tree. Inline elements vanish into their block's text; br, hr and images end a word."""
+    """The page's block tree. Inline elements vanish into their block's text, but for adverts and the like; br, hr and
+    images end a word."""
     root = Node("", "", frozenset())
-    stack, at, end = [root], 0, len(page)
+    stack, at, end, held = [root], 0, len(page), Counter()
+
+    def cut(k: int) -> None:
+        for n in stack[k:]:
+            held[n.tag] -= 1
+        del stack[k:]
+
+    def put(node: Node) -> None:
+        stack[-1].items.append(node)
+        stack.append(node)
+        held[node.tag] += 1
+
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
@@ -100,300 +145,361 @@ def parse(page: str) -> Node:
         name = m[2] or m[5]
         if not name:
             continue
-        tag, closing = name.lower(), m[1] or m[4]
-        if tag in INLINE:
-            continue
+        tag, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            if held[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag and not (tag in INLINE and not stack[k].inline):
+                    k -= 1
                 if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+                    cut(k)
+            continue
+        if tag in INLINE:
+            label, words = _described(tag, attributes) if "=" in attributes else (tag, frozenset())
+            if words & INLINE_WORDS or stack[-1].inline:
+                put(Node(tag, label, words, True))
             continue
         if tag in VOID:
             stack[-1].items.append(" ")
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
             stack[-1].items.append(" ")
+            if not attributes.endswith("/"):
+                close = _close_of(tag).search(page, at)
+                at = close.end() if close else at if tag in NEVER_RAW else end
             continue
-        if tag in ENDS_P and any(n.tag == "p" for n in stack[-4:]):
-            k = max(i for i, n in enumerate(stack) if n.tag == "p")
-            del stack[k:]
-        if tag in ENDS_SAME:
+        if tag in ENDS_P and held["p"] and any(n.tag == "p" for n in stack[-4:]):
+            cut(max(i for i, n in enumerate(stack) if n.tag == "p"))
+        if tag in ENDS_SAME and any(held[t] for t in ENDS_SAME[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ENDS_SAME[tag]:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in SCOPES and stack[k].tag not in ("td", "th"):
                     break
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and held[tag]:
             continue
-        node = Node(tag, *_described(tag, (m[3] or m[6] or "")))
-        stack[-1].items.append(node)
-        stack.append(node)
+        put(Node(tag, *_described(tag, attributes)))
     return root
 
 
-def blocks(node: Node, skip) -> list[str]:
+def blocks(node: Node, skip: Callable[[Node], bool]) -> list[str]:
     """The node's blocks in page order, each with its white space folded; `skip` names the nodes left out."""
     out, run = [], []
-    for x in node.items:
+    left = [iter(node.items)]
+    while left:
+        x = next(left[-1], None)
         if isinstance(x, str):
             run.append(x)
             continue
+        if x is not None and x.inline:
+            continue
         if run:
             out.append(html.unescape("".join(run)))
             run = []
-        if not skip(x):
-            out += blocks(x, skip)
-    if run:
-        out.append(html.unescape("".join(run)))
+        if x is None:
+            left.pop()
+        elif not skip(x):
+            left.append(iter(x.items))
     return [b for x in out if (b := " ".join(x.split()))]
 
 
-class Folded:
-    """A tree of the page's nodes in which neighbouring siblings with equal labels are one."""
-
-    __slots__ = ("children", "label", "nodes")
-
-    def __init__(self, label: str, nodes: list[Node]) -> None:
-        self.label, self.nodes, self.children = label, nodes, []
-        for n in nodes:
-            for x in n.items:
-                if isinstance(x, str):
-                    continue
-                if self.children and self.children[-1].label == x.label:
-                    self.children[-1].nodes.append(x)
-                else:
-                    self.children.append(Folded.__new__(Folded))
-                    self.children[-1].label, self.children[-1].nodes, self.children[-1].children = x.label, [x], []
-        merged: list[Folded] = []
-        for c in self.children:
-            same = next((m for m in merged if m.label == c.label), None) if len(nodes) > 1 else None
-            if same:
-                same.nodes += c.nodes
+class Tree:
+    """A page's folded tree in preorder: labels, parents, and the page's nodes folded into each."""
+
+    __slots__ = ("labels", "members", "parents")
+
+    def __init__(self, root: Node) -> None:
+        self.labels: list[str] = []
+        self.parents: list[int] = []
+        self.members: list[list[Node]] = []
+        left = [("", [root], -1)]
+        while left:
+            label, nodes, parent = left.pop()
+            left += [(name, group, len(self.labels)) for name, group in reversed(_folded(nodes))]
+            self.labels.append(label)
+            self.parents.append(parent)
+            self.members.append(nodes)
+
+    @property
+    def shape(self) -> str:
+        return "\n".join(f"{p} {name}" for p, name in zip(self.parents, self.labels, strict=True))
+
+
+def _folded(nodes: list[Node]) -> list[tuple[str, list[Node]]]:
+    """The children of folded nodes, neighbours of one label together."""
+    out: list[tuple[str, list[Node]]] = []
+    alone = lambda x: x.label in ("div", "section") and x.blocks
+    for n in nodes:
+        for x in n.blocks:
+            if out and out[-1][0] == x.label and not alone(x) and not alone(out[-1][1][-1]):
+                out[-1][1].append(x)
             else:
-                merged.append(c)
-        self.children = [Folded(c.label, c.nodes) for c in merged]
-
-    def shape(self) -> list:
-        return [self.label, *[c.shape() for c in self.children]]
-
-    def walk(self) -> Iterator[Folded]:
-        yield self
-        for c in self.children:
-            yield from c.walk()
-
-
-@functools.lru_cache(65536)
-def match(a: str, b: str) -> tuple[int, ...]:
-    """For each node of shape a, in preorder, the node of shape b that simple tree matching pairs it with, or -1."""
-    left, right = json.loads(a), json.loads(b)
-
-    def size(t: list) -> int:
-        return 1 + sum(size(c) for c in t[1:])
-
-    found: dict[int, int] = {}
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def matched(x: list, y: list) -> tuple[int, list]:
-        if x[0] != y[0]:
-            return 0, []
-        if (key := (id(x), id(y))) in memo:
-            return memo[key]
-        p, q = x[1:], y[1:]
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        got = [[(0, [])] * len(q) for _ in p]
-        for i, c in enumerate(p):
-            for j, d in enumerate(q):
-                got[i][j] = matched(c, d)
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + got[i][j][0])
-        i, j, pairs = len(p), len(q), []
+                out.append((x.label, [x]))
+    for name in (lambda x: x, lambda x: x.split(".")[0]) if len(out) > WIDE else (lambda x: x,) if len(nodes) > 1 else ():
+        together: dict[str, list[Node]] = {}
+        for label, group in out:
+            together.setdefault(name(label), []).extend(group)
+        out = list(together.items())
+        if len(out) <= WIDE:
+            break
+    return out
+
+
+def read_shape(shape: str) -> tuple[list[str], list[int]]:
+    rows = [line.partition(" ") for line in shape.split("\n")]
+    return [label for _, _, label in rows], [int(p) for p, _, _ in rows]
+
+
+def _children(parents: list[int]) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in parents]
+    for i, p in enumerate(parents):
+        if p >= 0:
+            out[p].append(i)
+    return out
+
+
+_matches: dict[tuple[str, str], list[int]] = {}
+
+
+def match(a: str, b: str) -> list[int]:
+    """For each node of shape a, in preorder, the node of shape b that simple tree matching pairs it with, or -1. Matches
+    are kept for pages of one shape, MATCHES_HELD at a time."""
+    if (a, b) not in _matches:
+        if len(_matches) >= MATCHES_HELD or sum(len(x) + len(y) for x, y in _matches) > MATCHES_CHARS:
+            _matches.clear()
+        _matches[a, b] = _match(a, b)
+    return _matches[a, b]
+
+
+def forget() -> None:
+    _matches.clear()
+
+
+def _match(a: str, b: str) -> list[int]:
+    (la, pa_), (lb, pb) = read_shape(a), read_shape(b)
+    ca, cb = _children(pa_), _children(pb)
+    found = [-1] * len(la)
+    if la[0] != lb[0]:
+        return found
+    # pairs of equal labels whose parents are such a pair, parents first; leaves count one and need no pair of their own
+    pairs = [(0, 0)]
+    for x, y in pairs:
+        inner = [d for d in cb[y] if cb[d]]
+        pairs += [(c, d) for c in ca[x] if ca[c] for d in inner if la[c] == lb[d]]
+    weight: dict[tuple[int, int], int] = {}
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x, y in reversed(pairs):
+        p, q = ca[x], cb[y]
+        got = np.array([[weight.get((c, d), 1) if la[c] == lb[d] else 0 for d in q] for c in p], np.int32).reshape(len(p), len(q))
+        best = np.zeros((len(p) + 1, len(q) + 1), np.int32)
+        for i in range(len(p)):
+            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + got[i]))
+        i, j, picked = len(p), len(q), []
         while i and j:
-            if got[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + got[i - 1][j - 1][0]:
-                pairs.append((i - 1, j - 1))
+            if got[i - 1, j - 1] and best[i, j] == best[i - 1, j - 1] + got[i - 1, j - 1]:
+                picked.append((p[i - 1], q[j - 1]))
                 i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
+            elif best[i, j] == best[i - 1, j]:
                 i -= 1
             else:
                 j -= 1
-        memo[key] = (1 + best[len(p)][len(q)], pairs)
-        return memo[key]
-
-    def place(x: list, y: list, i: int, j: int) -> None:
-        found[i] = j
-        starts = lambda t, at: [at + 1 + sum(size(c) for c in t[1 : k + 1]) for k in range(len(t) - 1)]
-        si, sj = starts(x, i), starts(y, j)
-        for p, q in matched(x, y)[1]:
-            place(x[1 + p], y[1 + q], si[p], sj[q])
-
-    if left[0] == right[0]:
-        matched(left, right)
-        place(left, right, 0, 0)
-    return tuple(found.get(i, -1) for i in range(size(left)))
-
-
-@functools.lru_cache(4096)
-def parents(shape: str) -> tuple[int, ...]:
-    """The parent of each node of a shape, in preorder; -1 for the root."""
-    out: list[int] = []
-
-    def walk(t: list, parent: int) -> None:
-        at = len(out)
-        out.append(parent)
-        for c in t[1:]:
-            walk(c, at)
-
-    walk(json.loads(shape), -1)
-    return tuple(out)
-
-
-def _own_text(f: Folded) -> str:
-    return " ".join(" ".join(x for x in n.items if isinstance(x, str)) for n in f.nodes).strip()
-
-
-def _content(nodes: list[tuple[str, int, bool, int]]) -> int:
-    """The content node of a tree given as (label, parent, boilerplate, characters of varying own text) in preorder; -1 if none."""
-    size = [0 if bad else own for _, _, bad, own in nodes]
-    inside = [bad for _, _, bad, _ in nodes]
-    for i, (_, parent, _, _) in enumerate(nodes):
-        if parent >= 0 and inside[parent]:
-            inside[i], size[i] = True, 0
-    for i in range(len(nodes) - 1, 0, -1):
-        if not inside[i]:
-            size[nodes[i][1]] += size[i]
-    best = -1
-    for i, (label, _, _, _) in enumerate(nodes):
-        tag = label.split(".")[0]
-        if not inside[i] and size[i] and (tag in ("article", "main") or tag in ("div", "section", "td") and set(label.split(".")[1:]) & CONTENT_WORDS):
-            rank = (tag == "article", tag == "main", size[i])
-            if best < 0 or rank > best_rank:
-                best, best_rank = i, rank
-    if best >= 0:
-        return best
-    at = 0
-    while True:
-        below = [i for i, n in enumerate(nodes) if n[1] == at and not inside[i] and size[i] > 0.8 * size[0]]
-        if not below or not size[0]:
-            return at if size[0] else -1
-        at = below[0]
-
-
-def _preorder(f: Folded, parent: int = -1, out: list | None = None) -> list[tuple[Folded, int]]:
-    out = [] if out is None else out
-    at = len(out)
-    out.append((f, parent))
-    for c in f.children:
-        _preorder(c, at, out)
+        weight[x, y], chosen[x, y] = 1 + int(best[len(p), len(q)]), picked
+    left = [(0, 0)]
+    while left:
+        x, y = left.pop()
+        found[x] = y
+        left += chosen.get((x, y), [])
+    return found
+
+
+def _summed(parents: list[int], own: list[float], out: list[bool]) -> list[float]:
+    """What each node holds with all below it, without the nodes left out (and what is below them)."""
+    sums = [0 if o else x for x, o in zip(own, out, strict=True)]
+    for i in range(len(parents) - 1, 0, -1):
+        if not out[i]:
+            sums[parents[i]] += sums[i]
+    return sums
+
+
+def _left_out(parents: list[int], why: list[str]) -> list[bool]:
+    out = [bool(w) for w in why]
+    for i, p in enumerate(parents):
+        out[i] = out[i] or (p >= 0 and out[p])
     return out
 
 
-def main_text(page: str, shape: str | None = None, content: int | None = None, constant: frozenset[int] = frozenset()) -> str:
-    """The page's main text with a host's wrapper (its reference shape, content node and constant nodes), or without one."""
-    folded = Folded("", [parse(page)])
-    nodes = _preorder(folded)
-    aligned = match(json.dumps(folded.shape()), shape) if shape else ()
+def content_of(labels: list[str], parents: list[int], own: list[float]) -> int:
+    """The content node of a tree, given the text of each node of its own; -1 if there is none."""
+    why, within = [boilerplate(x) for x in labels], [False] * len(labels)
+    for i, (x, p) in enumerate(zip(labels, parents, strict=True)):
+        within[i] = standing(x) >= 2 or (p >= 0 and within[p])
+        if x.split(".")[0] == "header" and not within[i]:  # a page header is one outside an article
+            why[i] = "tag"
+    out = _left_out(parents, why)
+    held = _summed(parents, own, out)
+    if not any(held[i] and standing(x) for i, x in enumerate(labels)):
+        # a class word is overruled by an article in it that has most of the text
+        tags = _left_out(parents, [w if w == "tag" else "" for w in why])
+        whole = _summed(parents, own, tags)
+        kept = {i for i, x in enumerate(labels) if not tags[i] and standing(x) >= 2 and not boilerplate(x.replace(x.split(".")[0], "div", 1)) and whole[i] > 0.5 * whole[0]}
+        for i in sorted(kept, reverse=True):
+            while i >= 0:
+                why[i], i = "", parents[i]
+        out = _left_out(parents, why)
+        held = _summed(parents, own, out)
+    if not held[0]:
+        return -1
+    children = _children(parents)
+    path = [0]
+    while below := [c for c in children[path[-1]] if not out[c] and children[c] and held[c] >= DOMINANT * held[0]]:
+        path.append(max(below, key=lambda c: held[c]))
+    named = max(path, key=lambda i: (standing(labels[i]), -i))
+    if standing(labels[named]):
+        return named
+    inside = {path[-1]}
+    for i, p in enumerate(parents):
+        if p in inside and not out[i]:
+            inside.add(i)
+    named = max(inside, key=lambda i: (standing(labels[i]) if held[i] else 0, held[i], -i))
+    return named if standing(labels[named]) and held[named] else path[-1]
+
+
+def digest_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def main_text(page: str, shape: str | None = None, content: int | None = None, constant: frozenset[tuple[int, int]] = frozenset()) -> str:
+    """The page's main text with a host's wrapper (its reference shape, content node and template texts), or without one."""
+    tree = Tree(parse(page))
+    aligned = match(tree.shape, shape) if shape else []
     at = -1
-    while shape and content is not None and content > 0 and at < 0:  # the content node, or the least one around it that the page has
-        at = aligned.index(content) if content in aligned else -1
-        content = parents(shape)[content]
-    if at < 0 or any(n.boilerplate for n in nodes[at][0].nodes):
-        at = _content([(f.label, p, any(n.boilerplate for n in f.nodes), len(_own_text(f))) for f, p in nodes])
+    if shape and content is not None and content >= 0:
+        labels, parents = read_shape(shape)
+        place = {k: i for i, k in enumerate(aligned) if k >= 0}
+        first = content
+        while at < 0 and content >= 0 and (content == first or labels[content] not in ("", "html", "body")):
+            at, content = place.get(content, -1), parents[content]
+    if at < 0:
+        at = content_of(tree.labels, tree.parents, [sum(len(n.own_text) for n in m) for m in tree.members])
     if at < 0:
         return ""
-    drop = {id(n) for (f, _), k in zip(nodes, aligned, strict=False) if k in constant for n in f.nodes} if constant else set()
-    # a page header is one outside an article
-    inside = lambda x: x.boilerplate or (x.tag == "header" and nodes[at][0].label.split(".")[0] not in ("article", "main")) or id(x) in drop
-    return " ".join(b for n in nodes[at][0].nodes for b in blocks(n, inside))
+    drop = {id(n) for m, k in zip(tree.members, aligned, strict=False) for n in m if not n.blocks and (k, digest_of(n.own_text)) in constant} if constant else set()
+    outside = not standing(tree.labels[at]) >= 2
+    skip = lambda x: bool(boilerplate(x.label)) or (outside and x.tag == "header") or id(x) in drop
+    return " ".join(b for n in tree.members[at] for b in blocks(n, skip))
 
 
 def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, shape, content, constant) of every host; pages: host, html."""
-
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def induced(shape: str, texts: list[dict]) -> tuple[int, list[tuple[int, int]]]:
+    """(content node, template texts) of a host from what its pages have at each node: rows of node, digest, n (distinct
+    pages) and chars (a page's, on average); digest null for the node as a whole."""
+    labels, parents = read_shape(shape)
+    pages, full = [0] * len(labels), [0.0] * len(labels)
+    for t in texts:
+        if t["digest"] is None:
+            pages[t["node"]], full[t["node"]] = t["n"], t["chars"]
+    fixed = [t for t in texts if t["digest"] is not None and t["n"] >= max(MIN_PAGES, (1 - MAX_OTHER) * pages[t["node"]])]
+    varying = list(full)
+    for t in fixed:
+        varying[t["node"]] = max(0.0, varying[t["node"]] - t["chars"])
+    content = content_of(labels, parents, varying)
+    if content < 0:
+        content = content_of(labels, parents, full)
+    under = {content}
+    for i, p in enumerate(parents):
+        if p in under and not boilerplate(labels[i]):
+            under.add(i)
+    constant = sorted((t["node"], t["digest"]) for t in fixed if t["node"] in under - {content})
+    if sum(t["chars"] for t in fixed if t["node"] in under) > MAX_CONSTANT * sum(full[i] for i in under if i >= 0):
+        constant = []
+    return content, constant
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """(host, page, shape, nodes, digests, sizes) of every page, from one parse: its digest, its folded tree, and of each of
+    its blocks with text the folded node, the text's digest and length. Written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for batch in by_bytes(batches, "html", SLICE_BYTES):
-            got = [json.dumps(Folded("", [parse(x or "")]).shape()) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(got, pa.string())], ["host", "shape"])
+            cols: list[list] = [[] for _ in kinds]
+            for page in batch.column("html").to_pylist():
+                tree = Tree(parse(page or ""))
+                found = [(k, digest_of(text), len(text)) for k, m in enumerate(tree.members) for n in m if (text := n.own_text)]
+                k, digests, sizes = zip(*found, strict=True) if found else ((), (), ())
+                for c, x in zip(cols, (digest_of(page or ""), tree.shape, k, digests, sizes), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["host", "page", "shape", "nodes", "digests", "sizes"])
+
+    return written(pages.mapInArrow(released(run), "host string, page long, shape string, nodes array<int>, digests array<long>, sizes array<int>"), "parsed-pages")
 
-    counted = pages.mapInArrow(shapes, "host string, shape string").groupBy("host", "shape").agg(F.count("*").alias("n"))
-    usual = counted.groupBy("host").agg(F.max_by("shape", F.struct("n", F.length("shape"), "shape")).alias("shape"))
-    usual = written(usual, "shapes")
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, shape, content, constant) of every host, written; pages: host, html."""
+    rows = parsed(pages)
+    counted = rows.groupBy("host", "shape").agg(F.count("*").alias("n"))
+    usual = written(counted.groupBy("host").agg(F.max_by("shape", F.struct("n", F.length("shape"), "shape")).alias("usual")), "shapes")
+    met = join_small(rows, usual, "host", "inner", _bytes(usual, F.length("usual")), 1)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "html", SLICE_BYTES):
-            out: list[list] = [[] for _ in range(5)]
-            for host, page, shape in zip(*(batch.column(x).to_pylist() for x in ("host", "html", "shape")), strict=True):
-                folded = Folded("", [parse(page or "")])
-                key = int.from_bytes(hashlib.blake2b((page or "").encode(), digest_size=8).digest(), "little", signed=True)
-                for f, k in zip(folded.walk(), match(json.dumps(folded.shape()), shape), strict=True):
-                    if k >= 0 and (text := _own_text(f)):
-                        digest = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
-                        for c, x in zip(out, (host, k, key, digest, len(text)), strict=True):
-                            c.append(x)
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "node", "page", "digest", "size"])
-
-    met = join_small(pages, usual, "host", "inner", 2000)
-    texts = met.select("host", "html", "shape").mapInArrow(slots, "host string, node int, page long, digest long, size long")
-    # copies of a page count once: a digest's distinct pages are estimated from their hashes, without gathering them
-    each = texts.groupBy("host", "node", "digest").agg(F.approx_count_distinct("page", 0.02).alias("n"), F.sum("size").alias("chars"), F.count("*").alias("rows"))
-    stats = each.groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("chars").alias("chars"), F.sum("rows").alias("rows"))
-    gathered = stats.groupBy("host").agg(F.collect_list(F.struct("node", "n", "top", "chars", "rows")).alias("stats"))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        for batch in batches:
+            out: list[list] = [[] for _ in kinds]
+            for host, page, shape, nodes, digests, sizes, usual in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                aligned, total = match(shape, usual), Counter()
+                once = {(aligned[k], d): s for k, d, s in zip(nodes, digests, sizes, strict=True) if aligned[k] >= 0}
+                for (k, _), s in once.items():
+                    total[k] += s
+                for k, d, s in [*((k, d, s) for (k, d), s in once.items()), *((k, None, s) for k, s in total.items())]:
+                    for c, x in zip(out, (host, page, k, d, s), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "page", "node", "digest", "size"])
+
+    met = met.select("host", "page", "shape", "nodes", "digests", "sizes", "usual")
+    texts = met.mapInArrow(released(slots, forget), "host string, page long, node int, digest long, size long")
+    # copies of a page count once
+    each = texts.groupBy("host", "node", "digest").agg(F.count_distinct("page").alias("n"), F.avg("size").alias("chars"))
+    # of a host's texts only those that may be template, and the sums of its nodes, are gathered
+    stats = each.where(F.col("digest").isNull() | (F.col("n") >= MIN_PAGES)).groupBy("host").agg(F.collect_list(F.struct("node", "digest", "n", "chars")).alias("texts"))
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.struct([("node", pa.int32()), ("digest", pa.int64())])))
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for host, shape, stats in zip(*(batch.column(x).to_pylist() for x in ("host", "shape", "stats")), strict=True):
-                by_node = {s["node"]: s for s in stats or []}
-                nodes: list[tuple[str, int, bool, int]] = []
-                full: list[int] = []
-                constant: set[int] = set()
-
-                def walk(t: list, parent: int, nodes=nodes, full=full, constant=constant, by_node=by_node) -> None:
-                    at, s = len(nodes), by_node.get(len(nodes))
-                    n = Node(t[0].split(".")[0], t[0], frozenset(t[0].split(".")[1:]))
-                    fixed = bool(s and s["n"] >= MIN_PAGES and s["n"] - s["top"] <= MAX_OTHER * s["n"])
-                    if fixed and len(t) == 1:
-                        constant.add(at)
-                    full.append(s["chars"] // s["rows"] if s else 0)
-                    nodes.append((t[0], parent, n.boilerplate, 0 if fixed else full[-1]))
-                    for c in t[1:]:
-                        walk(c, at)
-
-                walk(json.loads(shape), -1)
-                content = _content(nodes)
-                if content < 0:
-                    content = _content([(a, b, c, n) for (a, b, c, _), n in zip(nodes, full, strict=True)])
-                under = {content}
-                for i, (_, parent, bad, _) in enumerate(nodes):
-                    if parent in under and not bad:
-                        under.add(i)
-                constant &= under - {content}
-                if sum(full[i] for i in constant) > MAX_CONSTANT * sum(full[i] for i in under):
-                    constant = set()
-                for c, x in zip(out, (host, shape, content, sorted(constant)), strict=True):
+            out: list[list] = [[] for _ in kinds]
+            for host, shape, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                content, constant = induced(shape, texts or [])
+                for c, x in zip(out, (host, shape, content, [{"node": k, "digest": d} for k, d in constant]), strict=True):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32())), strict=True)], ["host", "shape", "content", "constant"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "shape", "content", "constant"])
+
+    joined = usual.join(stats, "host", "left").select("host", F.col("usual").alias("shape"), "texts")
+    return written(joined.mapInArrow(released(induce), "host string, shape string, content int, constant array<struct<node: int, digest: long>>"), "wrappers")
+
 
-    joined = usual.join(gathered, "host", "left").select("host", "shape", "stats")
-    return joined.mapInArrow(induce, "host string, shape string, content int, constant array<int>")
+def _bytes(hosts: DataFrame, of: F.Column) -> int:
+    """About the bytes of a table of hosts."""
+    return int(hosts.agg(F.sum(F.length("host") + of + 100)).first()[0] or 0)
 
 
-def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row: the id, the url, text, n_chars."""
+def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", wrapped: bool = True) -> DataFrame:
+    """Per row: the id, the url, text, n_chars. Without `wrapped` each page's own tree decides, which is for comparison."""
+    bounded_arrow(df.sparkSession)
     pages = df.select(df[id_col].alias("__id"), df[url_col].alias("__url"), df[html_col].alias("html"), _host(df[url_col]).alias("host"))
-    found = written(wrappers(pages.select("host", "html")), "wrappers")
-    met = join_small(pages, found, "host", "left", 2000)
+    if wrapped:
+        found = wrappers(pages.select("host", "html"))
+        met = join_small(pages, found, "host", "left", _bytes(found, F.length("shape") + 16 * F.size("constant")), 1)
+    else:
+        met = pages.selectExpr("*", "CAST(NULL AS STRING) AS shape", "CAST(NULL AS INT) AS content", "CAST(NULL AS ARRAY<STRUCT<node: INT, digest: BIGINT>>) AS constant")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html", SLICE_BYTES):
-            texts = [main_text(page or "", shape, content, frozenset(constant or ())) for page, shape, content, constant in zip(*(batch.column(x).to_pylist() for x in ("html", "shape", "content", "constant")), strict=True)]
+            rows = zip(*(batch.column(x).to_pylist() for x in ("html", "shape", "content", "constant")), strict=True)
+            texts = [main_text(page or "", shape, content, frozenset((c["node"], c["digest"]) for c in constant or ())) for page, shape, content, constant in rows]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    out = met.mapInArrow(read, f"id {pages.schema['__id'].dataType.simpleString()}, url string, text string, n_chars long")
+    out = met.mapInArrow(released(read, forget), f"id {pages.schema['__id'].dataType.simpleString()}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col)

@@ -86,18 +86,84 @@ FRAME = "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>
         (FRAME.format("<main><aside>x</aside><p>Main</p><!-- gone --><div class='cookie-notice'>ok?</div><table><tr><td>1<td>2</table></main>"), "Main 1 2"),
         (FRAME.format("<article><p>open</article>"), "open"), ("<article>a<script>x", "a"), ("<article>1 < 2 & 3 > 2</article>", "1 < 2 & 3 > 2"),
         ("<article><header class='entry-header'><h2>Title</h2></header><p title=\"a>b\">t</p></article>", "Title t"),
+        ("<article>a<svg width=1 /><p>b</p></article>", "a b"), ("<article>a<iframe src=x /><p>b</p></article>", "a b"),
+        ("<article>a<button>Go<p>b</p></article>", "a Go b"), ("<article>a<button>Go</button><p>b</p></article>", "a b"),
+        ("<article>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</article>", "Let x=1 be"),
+        ("<article><p>Some<span class=ad>Buy <span>now</span></span> words</p><span class=x>more</span></article>", "Some words more"),
+        (FRAME.format("<div class='legal'><article><p>Terms</p></article></div>"), "Terms"),
+        (FRAME.format("<article><p>Short</p></article><section class=comments><article class=comment><p>" + "chat " * 99 + "</p></article></section>"), "Short"),
+        (FRAME.format("<div class=comments><article class=comment><p>only chat</p></article></div>"), ""),
     ],
 )
 def test_main_text(page, want):
     assert html_text.main_text(page or "") == want
 
 
-def test_tree_matching():
-    import json
+def flat(tree, parent=-1, out=None):
+    out = [] if out is None else out
+    at = len(out)
+    out.append(f"{parent} {tree[0]}")
+    for c in tree[1:]:
+        flat(c, at, out)
+    return out
+
 
+def test_tree_matching():
     a, b = ["", ["x", ["y"], ["z", ["w"]]]], ["", ["x", ["q"], ["y"], ["z"]]]
-    assert html_text.match(json.dumps(a), json.dumps(b)) == (0, 1, 3, 4, -1)
-    assert html_text.match(json.dumps(b), json.dumps(a)) == (0, 1, -1, 2, 3)
+    a, b = ("\n".join(flat(t)) for t in (a, b))
+    assert html_text.match(a, b) == [0, 1, 3, 4, -1]
+    assert html_text.match(b, a) == [0, 1, -1, 2, 3]
+
+
+def most_pairs(a, b):
+    """Simple tree matching by its definition: all order-preserving pairings of children."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + most_pairs(x[0], y[0])) if x and y else 0
+
+    return 1 + best(a[1:], b[1:])
+
+
+def test_tree_matching_against_all_pairings():
+    r = random.Random(12)
+    grow = lambda depth: [r.choice("ab"), *(grow(depth - 1) for _ in range(r.randrange(4) if depth else 0))]
+    for _ in range(150):
+        a, b = ["", *grow(3)[1:]], ["", *grow(3)[1:]]
+        fa, fb = flat(a), flat(b)
+        found = html_text._match("\n".join(fa), "\n".join(fb))
+        assert sum(k >= 0 for k in found) == most_pairs(a, b)
+        used = [k for k in found if k >= 0]
+        assert used == sorted(set(used)) and found[0] == 0
+        (la, pa_), (lb, pb) = html_text.read_shape("\n".join(fa)), html_text.read_shape("\n".join(fb))
+        assert all(la[i] == lb[k] and (i == 0 or found[pa_[i]] == pb[k]) for i, k in enumerate(found) if k >= 0)
+
+
+def test_pages_of_any_depth_and_width(spark):
+    deep = "<div>" * 5000 + "<p>in the deep</p>" + "</div>" * 5000
+    wide = "<article>" + "".join(f"<h2>h{i}</h2><p class=c{'abcdefgh'[i % 8]}>p{i}</p>" for i in range(3000)) + "</article>"
+    long = f"<article><p>{'word ' * 300_000}</p></article>"
+    rows = [(i, "http://d.example/", FRAME.format(x)) for i, x in enumerate([deep, wide, long, deep, wide.replace("h1", "g1"), "<article><p>x</p></article>"])]
+    got = {g["page_id"]: g["text"] for g in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[3] == "in the deep" and got[1] == " ".join(f"h{i} p{i}" for i in range(3000))
+    assert got[2] == " ".join(["word"] * 300_000) and got[5] == "x"
+
+
+def test_the_wrapper_finds_content_without_names(spark):
+    # no tag or class names the content; notices and teasers are bare divs, and every page has the same call at its end
+    r = random.Random(2)
+    say = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(n))
+    rows, want = [], {}
+    for i in range(30):
+        title, text = say(4), [say(r.choice([20, 60])) for _ in range(r.choice([2, 5]))]
+        body = f"<h2>{title}</h2>" + "".join(f"<p>{t}</p>" for t in text)
+        house = "<div class=top><p>House of words, open all day long for every visitor who comes along the road</p></div>"
+        rows.append((i, "https://h.example/x", f"<body>{house}<div class=left><p>{say(3)}</p></div><div class=mid><div class=in>{body}<p>Call us today!</p></div></div><div class=end><p>{say(5)}</p></div></body>"))
+        want[i] = " ".join([title, *text])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got, alone = ({g["page_id"]: g["text"] for g in html_text.extract(df, wrapped=w).collect()} for w in (True, False))
+    assert got == want and sum(alone[i] != want[i] for i in want) == 30
 
 
 def test_extract(spark):
