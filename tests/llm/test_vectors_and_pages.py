@@ -12,30 +12,49 @@ from pixelframe.llm import html_text, topk
 
 
 def search_loop(rows, k, every):
-    ok = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in ok]
+    ok = [(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    whole = lambda v: [math.floor(256 * float(np.float32(x))) for x in v]
     out = []
-    for q, a in whole:
-        if q % every == 0:
-            ranked = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in whole if c != q and len(a) == len(b))
-            out += [(q, r, c, -s) for r, (s, c) in enumerate(ranked[:k], 1)]
+    for q, a in {(i, v) for i, v in ok if i % every == 0}:
+        ranked = sorted((-sum(x * y for x, y in zip(whole(a), whole(b), strict=True)), c) for c, b in ok if c != q and len(a) == len(b))
+        out += [(q, r, c, -s) for r, (s, c) in enumerate(ranked[:k], 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(1024, 16384, 2048), (2, 16, 7)])
-def test_top_k(spark, monkeypatch, blocks):
-    for name, value in zip(("QUERY_BLOCK", "ROW_BLOCK", "CHUNK"), blocks, strict=True):
+SIZES = ("QUERY_BYTES", "QUERY_ROWS", "ROW_BLOCK", "SEEDS", "QUERY_CHUNK", "CHUNK", "FEW")
+WAYS = [(8 << 20, 16384, 65536, 2048, 512, 2048, 1 / 32), (8 << 20, 16384, 65536, 3, 2, 7, 0.5), (0, 2, 16, 2048, 3, 7, 0.9)]  # sent, in small steps, in blocks
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_top_k(spark, monkeypatch, way):
+    for name, value in zip(SIZES, way, strict=True):
         monkeypatch.setattr(topk, name, value)
     r = np.random.default_rng(1)
     rows = [(i, r.normal(size=20).astype(np.float32).tolist()) for i in range(120)]
     rows += [(i, rows[3][1]) for i in range(120, 150)]  # ties
     rows += [(150, None), (200, [1.0, None] + [0.0] * 18), (250, [math.nan] * 20), (300, [math.inf] * 20), (350, [1.0, 2.0]), (351, [3.0, 4.0]), (None, [1.0] * 20), (400, []), (2, rows[2][1])]
-    df = spark.createDataFrame([(i, v, i) for i, v in rows], "vec_id long, embedding array<float>, score long")
+    df = spark.createDataFrame([(i, v, i, i) for i, v in rows], "vec_id long, embedding array<float>, score long, q long")
     got = topk.top_k(df, 5, every=10)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(map(tuple, got.collect())) == search_loop(rows, 5, 10)
 
 
+def test_pruning_leaves_few_pairs_and_the_best(monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 100)
+    # clusters: the coarse resolution drops other clusters, finer ones most of the own
+    r = np.random.default_rng(4)
+    centers = np.repeat(r.normal(size=(20, 4)), 16, axis=1) * 300
+    rows = np.floor(np.concatenate([c + r.normal(size=(100, 64)) * 80 for c in centers]))
+    queries, ids = rows[::50], np.arange(len(rows))
+    search = topk.Search(queries, ids[::50], 5, topk.floors(queries, ids[::50], queries, ids[::50], 5))
+    search.show(rows, ids)
+    assert search.survivors[0] < 0.6 * search.pairs and search.survivors[2] < 0.2 * search.pairs
+    exact = queries @ rows.T
+    exact[np.arange(len(queries)), ids[::50]] = -np.inf
+    want = [(i, int(j), int(exact[i, j])) for i in range(len(queries)) for j in np.lexsort((ids, -exact[i]))[:5]]
+    assert sorted(search.results()) == sorted(want)
+
+
 def test_top_k_of_large_numbers_and_nothing(spark):
     rows = [(0, [1e6, -3.0]), (1, [2e6, 1.0]), (2, [-5e7, 0.5]), (3, [1e5, 7.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -45,9 +64,9 @@ def test_top_k_of_large_numbers_and_nothing(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("blocks", [(1024, 16384, 2048), (2, 16, 7)])
-def test_top_k_of_repeated_rows(spark, monkeypatch, blocks):
-    for name, value in zip(("QUERY_BLOCK", "ROW_BLOCK", "CHUNK"), blocks, strict=True):
+@pytest.mark.parametrize("way", WAYS)
+def test_top_k_of_repeated_rows(spark, monkeypatch, way):
+    for name, value in zip(SIZES, way, strict=True):
         monkeypatch.setattr(topk, name, value)
     r = np.random.default_rng(6)
     rows = [(i, r.normal(size=20).astype(np.float32).tolist()) for i in range(60)]
@@ -67,7 +86,7 @@ def test_bounds_hold():
     a, b = np.floor(r.normal(size=(30, 37)) * 256), np.floor(r.normal(size=(40, 37)) * 256)
     exact = a @ b.T
     last = None
-    for s in (*topk.RESOLUTIONS, 37):
+    for s in (*topk.SEGMENTS, 1):
         upper = topk.statistics(a, s) @ topk.statistics(b, s).T
         assert (upper >= exact - 1e-6).all()
         assert last is None or upper.mean() <= last + 1e-6
