@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -41,21 +42,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors, and keeps
-    what was computed from being computed again by later readers."""
-    path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    what was computed from being computed again by later readers. `folder` is one that outlives a `scratch`."""
+    path = f"{folder or _folders[-1:] and _folders[-1] or tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _tables(spark: SparkSession) -> str:
+_folders: list[str] = []
+
+
+def tables(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
     return f"{shared_dir(spark)}/pixelframe-{spark.sparkContext.applicationId}"
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete the tables that this application has written, once their results have been read or stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables written inside go at the end, but for those written to the folder that this gives."""
+    outer = _folders[-1] if _folders else tables(spark)
+    _folders.append(f"{outer}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield outer
+    finally:
+        discard(spark, _folders.pop())
+
+
+def discard(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete the tables that this application has written (to one folder), once their results have been read or stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder or tables(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -38,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelframe.llm.common import bounded_arrow, by_bytes, released, written
+from pixelframe.llm.common import bounded_arrow, by_bytes, release, released, scratch, written
 from pixelframe.llm.components import components
 
 HASHES, BATCH = 128, 32
 MISS = 1e-6
-SMALL, BLOCK = 8, 512
+SMALL, BLOCK = 8, 1024
 SLICE_BYTES = 2 << 20
 _word_hashes: dict[bytes, int] = {}
 _WORDS_HELD = 100_000
@@ -217,35 +217,70 @@ def _exact(pairs: DataFrame, texts: DataFrame, minis: DataFrame, width: int, per
     return written(full.sortWithinPartitions("a").mapInArrow(released(verify, forget), "u long, v long"), "verified")
 
 
+def _blocked(placed: DataFrame, main: DataFrame) -> DataFrame:
+    """(key, x, y, stray, c, root): members outside a bucket's largest component (strays) and all members, dealt so that
+    every stray meets every member in one block of about BLOCK by BLOCK."""
+    rows = placed.join(main.hint("merge"), "key")
+    block = lambda n: F.pmod(F.xxhash64("c"), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK))).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int") - 1))
+    strays = rows.where("root <> main").withColumn("x", block("out")).withColumn("y", upto("all")).withColumn("stray", F.lit(True))
+    others = rows.withColumn("y", block("all")).withColumn("x", upto("out")).withColumn("stray", F.lit(False))
+    cols = ["key", "x", "y", "stray", "c", "root"]
+    return strays.select(cols).unionByName(others.select(cols))
+
+
+class Block:
+    """The strays and others of one block, and which others a stray may be like."""
+
+    def __init__(self, rows: pa.Table, percent: int) -> None:
+        self.c, self.root, self.n, stray = (rows.column(x).to_numpy() for x in ("c", "root", "n", "stray"))
+        self.strays, self.others = np.nonzero(stray)[0], np.nonzero(~stray)[0]
+        self.mini = np.frombuffer(b"".join(rows.column("mini").to_pylist()), np.uint8).reshape(-1, HASHES)
+        self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        self.at = int(np.nonzero(self.bands[0] == rows.column("key")[0].as_py())[0][0])
+        self.percent, self.needed = percent, least_matches(percent / 100)
+
+    def near(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of `among` that pass the batches beside stray i; pairs are looked at in the first bucket that they share."""
+        n, mini, bands = self.n, self.mini, self.bands
+        j = among[~(bands[i, : self.at] == bands[among, : self.at]).any(1) & (100 * np.minimum(n[i], n[among]) >= self.percent * np.maximum(n[i], n[among]))]
+        return j[survives(np.broadcast_to(mini[i], (len(j), HASHES)), mini[j], self.needed)]
+
+
 def _across(weighed: DataFrame, minis: DataFrame, texts: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(u, v): verified links between members of different components that share a large bucket; None if no bucket holds
-    several components. The members outside the bucket's largest component meet all others in blocks of about BLOCK by
-    BLOCK. Pairs stay inside their task: batches, exact sets, and one link for components that meet."""
-    needed = least_matches(percent / 100)
+    several components. Blocks first see signatures alone and name the members that have a pair left; only those come
+    again with their texts. Pairs stay inside their task: exact sets, and one link for components that meet."""
     placed = weighed.join(roots.select(F.col("node").alias("c"), "root").hint("merge"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"))
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("l"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1").select("key", F.col("l.root").alias("main"), "all", (F.col("all") - F.col("l.n")).alias("out"))
     main = written(main, "split-buckets")
     if not main.take(1):
         return None
-    rows = placed.join(main.hint("merge"), "key")
-    block = lambda n: F.pmod(F.xxhash64("c"), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK))).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int") - 1))
-    strays = rows.where("root <> main").withColumn("x", block("out")).withColumn("y", upto("all")).withColumn("stray", F.lit(True))
-    others = rows.withColumn("y", block("all")).withColumn("x", upto("out")).withColumn("stray", F.lit(False))
-    cols = ["key", "x", "y", "stray", "c", "root"]
-    dealt = strays.select(cols).unionByName(others.select(cols))
-    full = dealt.join(minis.select("c", "n", "mini", "bands").hint("merge"), "c").join(texts.hint("merge"), "c")
+    signs = minis.select("c", "n", "mini", "bands").hint("merge")
+
+    def pruned(rows: pa.Table) -> pa.Table:
+        block = Block(rows, percent)
+        left: set[int] = set()
+        for i in block.strays.tolist():
+            near = block.near(i, block.others[block.root[block.others] != block.root[i]])
+            if len(near):
+                left.add(i)
+                left.update(near.tolist())
+        out = rows.select(["key", "x", "y", "stray", "c", "root"]).take(pa.array(sorted(left), pa.int64()))
+        del block
+        release()
+        return out
+
+    shape = "key long, x int, y int, stray boolean, c long, root long"
+    left = written(_blocked(placed, main).join(signs, "c").groupBy("key", "x", "y").applyInArrow(pruned, shape), "left-in-blocks")
 
     def compare(rows: pa.Table) -> pa.Table:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        c, root, n, stray = (rows.column(x).to_numpy() for x in ("c", "root", "n", "stray"))
-        packed = rows.column("packed")
-        mini = np.frombuffer(b"".join(rows.column("mini").to_pylist()), np.uint8).reshape(-1, HASHES)
-        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-        at = int(np.nonzero(bands[0] == rows.column("key")[0].as_py())[0][0])
+        block, packed = Block(rows, percent), rows.column("packed")
+        c, root, mini = block.c, block.root, block.mini
         sets: dict[int, np.ndarray] = {}
         group = {r: r for r in root.tolist()}
 
@@ -260,13 +295,9 @@ def _across(weighed: DataFrame, minis: DataFrame, texts: DataFrame, roots: DataF
             return r
 
         links = []
-        all_others = np.nonzero(~stray)[0]
-        for i in np.nonzero(stray)[0].tolist():
+        for i in block.strays.tolist():
             mine = top(int(root[i]))
-            j = all_others[np.array([top(r) for r in root[all_others].tolist()]) != mine]
-            # pairs are looked at in the first bucket that they share
-            j = j[~(bands[i, :at] == bands[j, :at]).any(1) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
-            j = j[survives(np.broadcast_to(mini[i], (len(j), HASHES)), mini[j], needed)]
+            j = block.near(i, block.others[np.array([top(r) for r in root[block.others].tolist()], np.int64) != mine])
             for k in j[np.argsort(-(mini[j] == mini[i]).sum(1), kind="stable")].tolist():
                 if top(int(root[k])) == top(int(root[i])):
                     continue
@@ -276,13 +307,26 @@ def _across(weighed: DataFrame, minis: DataFrame, texts: DataFrame, roots: DataF
                     links.append((int(c[i]), int(c[k])))
                     group[top(int(root[i]))] = top(int(root[k]))
         u, v = zip(*links, strict=True) if links else ((), ())
+        sets.clear()
+        forget()
+        release()
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
+    full = left.join(signs, "c").join(texts.hint("merge"), "c")
     return written(full.groupBy("key", "x", "y").applyInArrow(compare, "u long, v long"), "across")
 
 
 def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """(rid, id, n, root, component_id, kept) of every signed row; root is null for the empty set."""
+    with scratch(rows.sparkSession) as folder:
+        known = written(_known(rows, width, percent), "components", folder)
+    out = rows.select("rid", "id", "n", "d1", "d2").join(known.hint("merge"), ["d1", "d2"], "left")
+    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
+    return out.select("rid", "id", "n", "root", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _known(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(d1, d2, root, component_id) of every class."""
     filled = rows.where("n > 0")
     classes = written(filled.groupBy("d1", "d2").agg(F.min("rid").alias("c"), F.min("id").alias("least")), "classes")
     minis = written(filled.join(classes.select("c").hint("merge"), F.col("rid") == F.col("c")).select("c", "n", "bands", "mini"), "minis")
@@ -304,10 +348,7 @@ def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
     joined = classes.join(roots.hint("merge"), F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
     ends = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = written(joined.select("d1", "d2", "root").join(ends.hint("merge"), "root"), "components")
-    out = rows.select("rid", "id", "n", "d1", "d2").join(known.hint("merge"), ["d1", "d2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select("rid", "id", "n", "root", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined.select("d1", "d2", "root").join(ends.hint("merge"), "root")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

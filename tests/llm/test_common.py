@@ -18,6 +18,25 @@ def test_written_and_discarded(spark):
     assert not os.path.exists(folder)
 
 
+def test_scratch_keeps_only_what_is_written_outside(spark):
+    base = common.tables(spark)
+    with common.scratch(spark) as folder:
+        assert folder == base
+        inner = common.written(spark.range(4), "inner")
+        with common.scratch(spark) as second:
+            kept = common.written(inner.where("id > 1"), "second", second)
+        kept = common.written(kept, "kept", folder)
+    assert sorted(r["id"] for r in kept.collect()) == [2, 3]
+    assert not [x for x in os.listdir(base.removeprefix("file:")) if x.startswith("scratch")]
+    common.discard(spark)
+
+
+def test_columns_packed_and_unpacked(spark):
+    df = spark.createDataFrame([(1, "a", None)], "row int, c0 string, `__row` string")
+    got = common.unpacked(df.select(common.packed(df).alias("row")), "row", df.columns)
+    assert got.columns == df.columns and got.schema == df.schema and got.collect() == df.collect()
+
+
 def test_batches_by_bytes():
     texts = ["a" * n for n in (1, 5, 5, 100, 1, 1)] + [None, ""]
     cut = list(common.by_bytes([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])], "t", 10))
