@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelframe.llm import bpe, html_text, language, licenses, minhash, mixing, quality, sharding, token_counts, topk
 from pixelframe.llm.common import table
 
-#: Bytes of text in a shard.
-SHARD_BYTES = 64 << 20
+#: Bytes of text in a shard; small, so that the query splits on small tables too.
+SHARD_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str) -> str:
