@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import bounded_arrow, by_bytes, join_small, released, written
+from pixelframe.llm.common import bounded_arrow, by_bytes, join_small, released, scratch, written
 
 MIN_PAGES, MAX_OTHER, MAX_CONSTANT, DOMINANT = 5, 0.1, 0.3, 0.8
 WIDE, MATCHES_HELD, MATCHES_CHARS = 300, 2000, 4 << 20
@@ -439,7 +439,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, shape, content, constant) of every host, written; pages: host, html."""
+    """(host, shape, content, constant) of every host; pages: host, html."""
     rows = parsed(pages)
     counted = rows.groupBy("host", "shape").agg(F.count("*").alias("n"))
     usual = written(counted.groupBy("host").agg(F.max_by("shape", F.struct("n", F.length("shape"), "shape")).alias("usual")), "shapes")
@@ -477,7 +477,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["host", "shape", "content", "constant"])
 
     joined = usual.join(stats, "host", "left").select("host", F.col("usual").alias("shape"), "texts")
-    return written(joined.mapInArrow(released(induce), "host string, shape string, content int, constant array<struct<node: int, digest: long>>"), "wrappers")
+    return joined.mapInArrow(released(induce), "host string, shape string, content int, constant array<struct<node: int, digest: long>>")
 
 
 def _bytes(hosts: DataFrame, of: F.Column) -> int:
@@ -490,7 +490,8 @@ def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", htm
     bounded_arrow(df.sparkSession)
     pages = df.select(df[id_col].alias("__id"), df[url_col].alias("__url"), df[html_col].alias("html"), _host(df[url_col]).alias("host"))
     if wrapped:
-        found = wrappers(pages.select("host", "html"))
+        with scratch(df.sparkSession) as folder:
+            found = written(wrappers(pages.select("host", "html")), "wrappers", folder)
         met = join_small(pages, found, "host", "left", _bytes(found, F.length("shape") + 16 * F.size("constant")), 1)
     else:
         met = pages.selectExpr("*", "CAST(NULL AS STRING) AS shape", "CAST(NULL AS INT) AS content", "CAST(NULL AS ARRAY<STRUCT<node: INT, digest: BIGINT>>) AS constant")

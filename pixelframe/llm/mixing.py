@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import join_small, packed, unpacked, written
+from pixelframe.llm.common import join_small, packed, scratch, unpacked, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of U, and of the bins of ranks whose words are summed.
@@ -86,26 +86,27 @@ def mixed(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.coalesce(F.regexp_count(df[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("__size"), unit_hash(df[id_col], df[text_col]).alias("__u"),
         df[source_col].isNull().alias("__snull"), F.coalesce(df[source_col].cast("string"), F.lit("")).alias("__s"),
     )
-    sizes = written(rows.select(*key, "__size", "__u"), "sizes")
-    plan = targets(sizes, weights, max_copies)
-    sure = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    plan = written(plan.withColumn("sure", sure).withColumn("want", F.col("target") - F.col("sure") * F.col("source_size")), "plan")
-    n_sources = plan.count()
-
-    sampled = join_small(sizes, plan.where("want > 0"), key, "inner", 140, n_sources).withColumn("pareto", rank_value())
-    sampled = sampled.select(*key, "want", "__size", "pareto", bin_of.alias("bin"))
-    bins = sampled.groupBy(*key, "want", "bin").agg(F.sum("__size").alias("words"))
-    upto = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("upto", F.sum("words").over(upto)).where("upto >= want and upto - words < want")
-    bins = written(bins.select(*key, "bin", (F.col("upto") - F.col("words")).alias("below"), "want"), "crossing")
-
-    inside = join_small(sampled.drop("want"), bins, [*key, "bin"], "inner", 140, n_sources)
-    inside = inside.groupBy(*key, "bin", "below", "want", "pareto").agg(F.sum("__size").alias("words"))
-    inside = inside.select(*key, "bin", "want", "pareto", (F.col("below") + F.sum("words").over(Window.partitionBy(*key).orderBy("pareto"))).alias("upto"))
-    none = bins.select(*key, "bin", "want", F.lit(-1.0).alias("pareto"), F.col("below").alias("upto"))
-    cuts = inside.unionByName(none).groupBy(*key, "bin").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("want")).alias("off"), "pareto"))["pareto"].alias("cut"))
-
-    verdict = written(plan.join(cuts.withColumnRenamed("bin", "cut_bin"), key, "left"), "verdict")
+    with scratch(df.sparkSession) as folder:
+        sizes = written(rows.select(*key, "__size", "__u"), "sizes")
+        plan = targets(sizes, weights, max_copies)
+        sure = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+        plan = written(plan.withColumn("sure", sure).withColumn("want", F.col("target") - F.col("sure") * F.col("source_size")), "plan")
+        n_sources = plan.count()
+
+        sampled = join_small(sizes, plan.where("want > 0"), key, "inner", 140, n_sources).withColumn("pareto", rank_value())
+        sampled = sampled.select(*key, "want", "__size", "pareto", bin_of.alias("bin"))
+        bins = sampled.groupBy(*key, "want", "bin").agg(F.sum("__size").alias("words"))
+        upto = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("upto", F.sum("words").over(upto)).where("upto >= want and upto - words < want")
+        bins = written(bins.select(*key, "bin", (F.col("upto") - F.col("words")).alias("below"), "want"), "crossing")
+
+        inside = join_small(sampled.drop("want"), bins, [*key, "bin"], "inner", 140, n_sources)
+        inside = inside.groupBy(*key, "bin", "below", "want", "pareto").agg(F.sum("__size").alias("words"))
+        inside = inside.select(*key, "bin", "want", "pareto", (F.col("below") + F.sum("words").over(Window.partitionBy(*key).orderBy("pareto"))).alias("upto"))
+        none = bins.select(*key, "bin", "want", F.lit(-1.0).alias("pareto"), F.col("below").alias("upto"))
+        cuts = inside.unionByName(none).groupBy(*key, "bin").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("want")).alias("off"), "pareto"))["pareto"].alias("cut"))
+
+        verdict = written(plan.join(cuts.withColumnRenamed("bin", "cut_bin"), key, "left"), "verdict", folder)
     out = join_small(rows, verdict, key, "left", 180, n_sources).withColumn("pareto", rank_value())
     drawn = (bin_of < F.col("cut_bin")) | ((bin_of == F.col("cut_bin")) & (F.col("pareto") <= F.col("cut")))
     return out.select("row", "id", F.col("__size").alias("size"), "source_size", "target", "pareto", (F.col("sure") + F.when(drawn, 1).otherwise(0)).alias("copies"))
