@@ -1,6 +1,9 @@
 """The corpus pipeline: documents by way of five stages to encoded training text.
 
-Each stage works on all rows its predecessor kept, and returns the columns of documents but for the last.
+Each stage works on all rows its predecessor kept, and returns the columns of documents but for the last. Null and empty
+texts have no letters and go in the first stage; a null source is a source of its own; repeated rows are near-duplicates of
+each other, of which one stays; very long texts are read whole; an empty table gives an empty result; further columns of
+documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -8,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelframe.llm import bpe, language, minhash, mixing, quality
-from pixelframe.llm.common import table, written
+from pixelframe.llm.common import scratch, table, written
 from pixelframe.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in none of the languages known, go."""
+    """Documents without letters, or unlike every language known, go."""
     return language.keep(docs)
 
 
@@ -43,8 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again."""
+    """All stages over documents; each stage's rows are written and read again, and what it wrote on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as folder:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", folder)
     return STAGES[-1][1](spark, docs, sf_dir)
