@@ -1,7 +1,8 @@
 """Two-dimensional convolution of pixel tables.
 
 A zero response is a positive zero. The window of a pixel begins at it and reaches right and down ([y, y + h) x [x, x + w)), is cut off at the right and lower
-borders and is not weighed anew there. Three forms give the same numbers:
+borders and is not weighed anew there. A pixel without a value counts as zero, and has a response like any other. Three
+forms give the same numbers:
 
 - `scatter`: each pixel is sent to the pixels whose windows hold it and summed there; any kernel, sparse images too. The
   sums are partly made before the shuffle.
@@ -43,7 +44,7 @@ def scatter(pixels: DataFrame, keys: list[str], kernel: list[list[float]], value
     # the pixel's own place takes part with weight zero if the kernel has none, so that every pixel has a row
     taps = [(dy, dx, float(k)) for dy, row in enumerate(kernel) for dx, k in enumerate(row) if k or (dy, dx) == (0, 0)]
     parts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(k).alias("k")) for dy, dx, k in taps])
-    sent = pixels.select(*keys, "y", "x", F.col(value).alias("__v"), F.explode(parts).alias("t"))
+    sent = pixels.select(*keys, "y", "x", F.coalesce(F.col(value), F.lit(0)).alias("__v"), F.explode(parts).alias("t"))
     at = sent.select(*keys, (F.col("y") - F.col("t.dy")).alias("y"), (F.col("x") - F.col("t.dx")).alias("x"), (F.col("__v") * F.col("t.k")).alias("p"), ((F.col("t.dy") == 0) & (F.col("t.dx") == 0)).alias("own"))
     return at.groupBy(*keys, "y", "x").agg((F.sum("p") + F.lit(0.0)).alias("g"), F.max("own").alias("own")).where("own").drop("own")
 
@@ -53,7 +54,7 @@ def separable(pixels: DataFrame, keys: list[str], down: list[float], across: lis
     spread however large one image is. Needs a dense grid."""
 
     def reach(column: str, weights: list[float], w) -> Column:
-        terms = [F.coalesce(F.lead(column, i).over(w), F.lit(0)) * float(k) if i else F.col(column) * float(k) for i, k in enumerate(weights) if k]
+        terms = [F.coalesce(F.lead(column, i).over(w) if i else F.col(column), F.lit(0)) * float(k) for i, k in enumerate(weights) if k]
         return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
 
     rows = pixels.withColumn("__h", reach(value, across, Window.partitionBy(*keys, "y").orderBy("x")))
@@ -67,7 +68,7 @@ def banded(pixels: DataFrame, keys: list[str], kernel: list[list[float]], value:
     h, w = k.shape
     own = F.floor(F.col("y") / band).cast("int")
     above = F.floor((F.col("y") - (h - 1)) / band).cast("int")
-    placed = pixels.select(*keys, "y", "x", F.col(value).cast("double").alias("__v"), F.explode(F.array_distinct(F.sequence(F.greatest(F.lit(0), above), own))).alias("__band"))
+    placed = pixels.select(*keys, "y", "x", F.coalesce(F.col(value), F.lit(0)).cast("double").alias("__v"), F.explode(F.array_distinct(F.sequence(F.greatest(F.lit(0), above), own))).alias("__band"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(pdf["__band"].iloc[0]) * band

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.functions.pixel import threshold
+from pixelframe.operators.per_image import BROADCAST_ROWS, join_images
 
 LEVELS = 256
 
@@ -18,9 +19,9 @@ def histogram(pixels: DataFrame, keys: list[str], value: str = "v", dense: bool
     """(keys, v, n): pixels per level; `dense` adds the levels that do not occur, with n = 0."""
     counts = pixels.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     if not dense:
-        return counts
+        return counts.where("v is not null")
     # the levels of an image as one row, exploded: no join against a generated grid, and still one shuffle
-    table = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("m"))
+    table = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "n")))).alias("m"))
     every = table.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
     return every.select(*keys, F.col("v").cast("int").alias("v"), F.coalesce(F.col("m")[F.col("v")], F.lit(0)).cast("long").alias("n"))
 
@@ -37,33 +38,29 @@ def cumulative(hist: DataFrame, keys: list[str], inclusive: bool = True) -> Data
     return out.select(*keys, "v", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("cum_n"), F.coalesce(F.sum("s").over(w), F.lit(0)).alias("cum_s"))
 
 
-def between_class_variance(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, v, n1, n2, variance) for every cut v that leaves both classes filled: n1 n2 (mu1 - mu2)^2, class one being the
-    levels up to v. Counts and sums are exact; each mean is divided once."""
+def _cuts(hist: DataFrame, keys: list[str]) -> DataFrame:
     everything = Window.partitionBy(*keys)
     cut = cumulative(hist, keys).withColumn("n1", F.col("cum_n")).withColumn("total", F.sum("n").over(everything)).withColumn("total_s", F.sum(F.col("v") * F.col("n")).over(everything))
-    cut = cut.withColumn("n2", F.col("total") - F.col("n1")).where("n1 > 0 and n2 > 0")
-    apart = F.col("cum_s") / F.col("n1") - (F.col("total_s") - F.col("cum_s")) / F.col("n2")
+    cut = cut.withColumn("n2", F.col("total") - F.col("n1"))
+    filled = (F.col("n1") > 0) & (F.col("n2") > 0)
+    apart = F.when(filled, F.col("cum_s") / F.col("n1") - (F.col("total_s") - F.col("cum_s")) / F.col("n2"))
     return cut.select(*keys, "v", "n1", "n2", (F.col("n1").cast("double") * F.col("n2").cast("double") * (apart * apart)).alias("variance"))
 
 
+def between_class_variance(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, v, n1, n2, variance) for every cut v that leaves both classes filled: n1 n2 (mu1 - mu2)^2, class one being the
+    levels up to v. Counts and sums are exact; each mean is divided once."""
+    return _cuts(hist, keys).where("variance is not null")
+
+
 def otsu_threshold(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """(keys, threshold): the first cut of greatest variance, 0 for an image with a single level."""
-    hist = histogram(pixels, keys, value)
-    best = between_class_variance(hist, keys).groupBy(*keys).agg(F.max(F.struct("variance", (-F.col("v")).alias("nv"))).alias("b"))
-    cuts = best.select(*keys, (-F.col("b.nv")).alias("threshold"))
-    images = hist.select(*keys).distinct() if keys else hist.limit(1).select(F.lit(1).alias("__one")).drop("__one")
-    if not keys:
-        return cuts.agg(F.coalesce(F.max("threshold"), F.lit(0)).cast("int").alias("threshold"))
-    return images.join(cuts, keys, "left").select(*keys, F.coalesce("threshold", F.lit(0)).cast("int").alias("threshold"))
-
-
-def otsu_binarize(pixels: DataFrame, keys: list[str], value: str = "v", broadcast_rows: int = 100_000) -> DataFrame:
-    """The pixels with `bw`, 255 above their image's threshold and 0 elsewhere. Thresholds, one row per image, are computed
-    once and counted: up to `broadcast_rows` are broadcast, so that pixels are not shuffled; more are joined on the image."""
-    cuts = otsu_threshold(pixels, keys, value)
-    if not keys:
-        return pixels.crossJoin(F.broadcast(cuts)).withColumn("bw", threshold(F.col(value), F.col("threshold"))).drop("threshold")
-    cuts = cuts.persist()
-    side = F.broadcast(cuts) if cuts.count() <= broadcast_rows else cuts.hint("merge")
-    return pixels.join(side, keys).withColumn("bw", threshold(F.col(value), F.col("threshold"))).drop("threshold")
+    """(keys, threshold): the first cut of greatest variance, 0 for an image with a single level or none."""
+    cut = F.when(F.col("variance").isNotNull(), F.struct("variance", (-F.col("v")).alias("nv")))
+    best = _cuts(histogram(pixels, keys, value), keys).groupBy(*keys).agg(F.max(cut).alias("b"))
+    return best.select(*keys, F.coalesce(-F.col("b.nv"), F.lit(0)).cast("int").alias("threshold"))
+
+
+def otsu_binarize(pixels: DataFrame, keys: list[str], value: str = "v", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The pixels with `bw`, 255 above their image's threshold and 0 elsewhere (and where there is no value)."""
+    cuts = otsu_threshold(pixels, keys, value).withColumnRenamed("threshold", "__cut")
+    return join_images(pixels, cuts, keys, ["__cut"], broadcast_rows).withColumn("bw", threshold(F.col(value), F.col("__cut"))).drop("__cut")

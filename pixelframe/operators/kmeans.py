@@ -1,6 +1,6 @@
 """K-means on colors with a fixed number of rounds.
 
-Starting centroids are the pixels at index i * (n div k) in the given order. A pixel goes to the nearest centroid by color,
+Starting centroids are the pixels at index i * (n div k) in the given order, or drawn from all pixels by a seed. A pixel goes to the nearest centroid by color,
 ties to the lowest id; all coordinates of a centroid become its pixels' means, zeros if it has none. The last assignment
 is the one before the last update. Means are doubles, or cut to whole numbers each round (mean="int").
 
@@ -8,6 +8,9 @@ Assignment depends on color alone, so pixels are first summed up by color (exact
 distinct colors; a round is one aggregation of k rows, and k centroids are all that the driver sees. If a round changes
 nothing, the rest cannot either, and the loop ends. Up to LITERAL centroids are compared inside generated code; more go
 through a blocked numpy function, whose memory is bounded by the block.
+
+`k_means` spreads one image over all tasks. `k_means_by_image` is for many images: each is one task's work, over its
+distinct colors.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.functions.pixel import color_distance
+from pixelframe.operators.per_image import by_image
 
 LITERAL = 64
 COORDINATES = ("x", "y", "r", "g", "b")
@@ -52,12 +56,13 @@ def nearest(r: Column, g: Column, b: Column, centroids: list[tuple[float, ...]])
     return blocked(r, g, b)
 
 
-def initial(pixels: DataFrame, k: int, order: str, n: int | None = None) -> list[tuple[float, ...]]:
-    """The pixels at index i * (n div k); `order` is a dense index from 0."""
+def initial(pixels: DataFrame, k: int, order: str, n: int | None = None, seed: int | None = None) -> list[tuple[float, ...]]:
+    """The pixels at index i * (n div k), or with a seed k drawn from all, a pixel possibly more than once; `order` is a
+    dense index from 0."""
     n = pixels.count() if n is None else n
     if k < 1 or n < k:
         raise ValueError("k is at least 1 and at most the number of pixels")
-    wanted = [i * (n // k) for i in range(k)]
+    wanted = [i * (n // k) for i in range(k)] if seed is None else np.random.default_rng(seed).integers(0, n, k).tolist()
     got = {row[order]: tuple(float(row[c]) for c in COORDINATES) for row in pixels.where(F.col(order).isin(wanted)).select(order, *COORDINATES).collect()}
     return [got[i] for i in wanted]
 
@@ -81,11 +86,11 @@ def update(colors: DataFrame, centroids: list[tuple[float, ...]], mean: str = "d
     return [tuple(cut(got[i][c], got[i]["n"]) for c in COORDINATES) if i in got else (0.0,) * 5 for i in range(len(centroids))]
 
 
-def k_means(pixels: DataFrame, k: int, rounds: int, *, order: str, mean: str = "double", compacted: bool = True) -> Result:
+def k_means(pixels: DataFrame, k: int, rounds: int, *, order: str, mean: str = "double", compacted: bool = True, seed: int | None = None) -> Result:
     """Run `rounds` rounds; pixels: x, y, r, g, b and the dense index `order`."""
     if mean not in ("double", "int"):
         raise ValueError("mean is 'double' or 'int'")
-    now = before = initial(pixels, k, order)
+    now = before = initial(pixels, k, order, seed=seed)
     colors = (compact(pixels) if compacted else pixels.select("r", "g", "b", F.lit(1).alias("n"), F.col("x").cast("long").alias("sx"), F.col("y").cast("long").alias("sy"))).persist()
     done = 0
     try:
@@ -99,6 +104,45 @@ def k_means(pixels: DataFrame, k: int, rounds: int, *, order: str, mean: str = "
     return Result(now, before, done)
 
 
+def k_means_by_image(pixels: DataFrame, keys: list[str], k: int, rounds: int, *, mean: str = "double", seed: int | None = None) -> DataFrame:
+    """(keys, y, x, cluster, cx, cy, cr, cg, cb): each pixel's cluster, and the cluster's centroid after the last update.
+    Pixels are numbered by (y, x) in their image; one with fewer than k pixels has as many centroids as pixels."""
+    if mean not in ("double", "int") or k < 1:
+        raise ValueError("mean is 'double' or 'int', and k is at least 1")
+
+    def work(image: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(image["y"])
+        own = min(k, n)
+        at = np.arange(own) * (n // own) if seed is None else np.random.default_rng(seed).integers(0, n, own)
+        colors, of = np.unique(np.stack([image[c] for c in "rgb"], 1).astype(np.int64), axis=0, return_inverse=True)
+        of = of.reshape(-1)
+        counts = np.bincount(of, minlength=len(colors))
+        places = np.stack([np.bincount(of, image[c], len(colors)) for c in "xy"], 1).astype(np.int64)
+        totals = np.concatenate([places, colors * counts[:, None]], 1)
+        now = np.stack([image[c][at] for c in COORDINATES], 1).astype(float)
+        chosen = np.empty(len(colors), np.int64)
+        for _ in range(rounds):
+            for b in range(0, len(colors), 1024):
+                d = colors[b : b + 1024, None, :] - now[None, :, 2:]
+                chosen[b : b + 1024] = (d[..., 0] ** 2 + d[..., 2] ** 2 + d[..., 1] ** 2).argmin(1)
+            sums = np.zeros((own, 5), np.int64)
+            np.add.at(sums, chosen, totals)
+            members = np.maximum(1, np.bincount(chosen, counts, own).astype(np.int64))[:, None]
+            new = (sums // members).astype(float) if mean == "int" else sums / members
+            if (new == now).all():
+                break
+            now = new
+        cluster = chosen[of]
+        return {"cluster": cluster} | {f"c{c}": now[cluster, i] for i, c in enumerate(COORDINATES)}
+
+    return by_image(pixels, keys, ["r", "g", "b"], work, "cluster int, cx double, cy double, cr double, cg double, cb double")
+
+
+def painted(clustered: DataFrame) -> DataFrame:
+    """What `k_means_by_image` gives as pixels in their centroid's color, fractions cut off."""
+    return clustered.withColumns({c: F.col(f"c{c}").cast("int") for c in "rgb"}).drop(*[f"c{c}" for c in COORDINATES])
+
+
 def assign(pixels: DataFrame, centroids: list[tuple[float, ...]]) -> DataFrame:
     """The pixels with `cluster`."""
     return pixels.withColumn("cluster", nearest(F.col("r"), F.col("g"), F.col("b"), centroids))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelframe.operators.per_image import by_image, grid, join_images
+
 
 def distance_transform(mask: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """(keys, y, x, d2, dist): squared and plain Euclidean distance to the nearest zero pixel; null in an image without one.
@@ -49,15 +51,45 @@ def max_filter(pixels: DataFrame, keys: list[str], radius: int, value: str = "v"
     return pixels.withColumn("__t", F.max(value).over(along_x)).withColumn("top", F.max("__t").over(along_y)).drop("__t")
 
 
-def local_maxima(pixels: DataFrame, keys: list[str], radius: int, value: str = "v", above: float = 0) -> DataFrame:
-    """The pixels that are the greatest within `radius` and exceed `above`."""
-    return max_filter(pixels, keys, radius, value).where((F.col(value) == F.col("top")) & (F.col(value) > above)).drop("top")
+def local_maxima(pixels: DataFrame, keys: list[str], radius: int, value: str = "v", above: float = 0, *, border: int = 0, label: str | None = None) -> DataFrame:
+    """The pixels that are the greatest within `radius` and exceed `above`. Those nearer than `border` to the first or last
+    row or column of their image are left out. With `label`, a pixel is compared with those of its own label only, and
+    pixels of label 0 are left out; an image is then one task's work."""
+    if label is None:
+        out = max_filter(pixels, keys, radius, value).where((F.col(value) == F.col("top")) & (F.col(value) > above)).drop("top")
+    else:
+
+        def work(image: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            y, x = image["y"], image["x"]
+            peak = np.zeros(len(y), bool)
+            for k in np.unique(image[label][image[label] != 0]):
+                own = image[label] == k
+                top = grid(image, np.where(own, image[value], -np.inf), -np.inf)
+                for axis in (0, 1):
+                    wide = np.pad(top, [(radius, radius) if a == axis else (0, 0) for a in (0, 1)], constant_values=-np.inf)
+                    top = np.lib.stride_tricks.sliding_window_view(wide, 2 * radius + 1, axis).max(-1)
+                peak |= own & (image[value] == top[y, x]) & (image[value] > above)
+            return {"__peak": peak.astype(np.int32)}
+
+        found = by_image(pixels, keys, [value, label], work, "__peak int").where("__peak = 1").drop("__peak")
+        on = [*[pixels[k].eqNullSafe(found[k]) for k in keys], pixels["y"] == found["y"], pixels["x"] == found["x"]]
+        out = pixels.join(found, on, "left_semi")
+    if border:  # an image's size comes from all its pixels, one row per image
+        size = pixels.groupBy(*keys).agg(F.max("y").alias("__y"), F.max("x").alias("__x"))
+        out = join_images(out, size, keys, ["__y", "__x"])
+        out = out.where((F.col("y") >= border) & (F.col("x") >= border) & (F.col("y") <= F.col("__y") - border) & (F.col("x") <= F.col("__x") - border)).drop("__y", "__x")
+    return out
 
 
 def _label(y: np.ndarray, x: np.ndarray, eight: bool) -> np.ndarray:
-    """Labels from 1, in the order of each component's first pixel by (y, x)."""
-    at = {p: i for i, p in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
-    parent = list(range(len(y)))
+    """Labels from 1 of places in the order of (y, x), in the order of each component's first. Runs of a row are joined to
+    those of the row above that they touch."""
+    new = np.ones(len(y), bool)
+    new[1:] = (y[1:] != y[:-1]) | (x[1:] - x[:-1] > 1)
+    first = np.nonzero(new)[0]
+    of, last = np.cumsum(new) - 1, np.append(first[1:], len(y)) - 1
+    rows, left, right = y[first].tolist(), x[first].tolist(), x[last].tolist()
+    parent = list(range(len(first)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -65,28 +97,23 @@ def _label(y: np.ndarray, x: np.ndarray, eight: bool) -> np.ndarray:
             i = parent[i]
         return i
 
-    back = [(-1, 0), (0, -1), (-1, -1), (-1, 1)] if eight else [(-1, 0), (0, -1)]
-    for (py, px), i in at.items():
-        for dy, dx in back:
-            j = at.get((py + dy, px + dx))
-            if j is not None:
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    roots = np.array([root(i) for i in range(len(y))])
-    return np.unique(roots, return_inverse=True)[1] + 1
+    reach, above = int(eight), 0
+    for i in range(len(first)):
+        while rows[above] < rows[i] - 1 or (rows[above] == rows[i] - 1 and right[above] + reach < left[i]):
+            above += 1
+        j = above
+        while rows[j] == rows[i] - 1 and left[j] <= right[i] + reach:
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+            j += 1
+    roots = np.array([root(i) for i in range(len(first))])
+    return (np.unique(roots, return_inverse=True)[1] + 1)[of]
 
 
 def connected_components(mask: DataFrame, keys: list[str], value: str = "v", eight: bool = True) -> DataFrame:
     """(keys, y, x, label): components of the nonzero pixels of each image, numbered by their first pixel. An image is one
     task's work; images too large for that go through `components_of_large`."""
-    shape = T.StructType([*(mask.schema[c] for c in keys), mask.schema["y"], mask.schema["x"], T.StructField("label", T.IntegerType())])
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        pdf["label"] = _label(pdf["y"].to_numpy(), pdf["x"].to_numpy(), eight)
-        return pdf[[*keys, "y", "x", "label"]]
-
-    return mask.where(F.col(value) != 0).select(*keys, "y", "x").groupBy(*keys).applyInPandas(work, shape)
+    return by_image(mask.where(F.col(value) != 0), keys, [], lambda image: {"label": _label(image["y"], image["x"], eight)}, "label int")
 
 
 def components_of_large(mask: DataFrame, keys: list[str], folder: str, value: str = "v", eight: bool = True, band: int = 256) -> DataFrame:

@@ -65,7 +65,56 @@ def hdr(px: np.ndarray) -> bytes:
     return b"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n\n-Y %d +X %d\n" % px.shape[:2] + rgbe.tobytes()
 
 
-FORMATS = {"png": png, "pnm": pnm, "bmp": bmp, "tga": tga, "hdr": hdr}
+def jpg(px: np.ndarray, quality: int = 90) -> bytes:
+    """Baseline JPEG without subsampling. Steps of quantization grow with the frequency; codes are of one length per table
+    (4 bits for sizes of first coefficients, 8 for runs and sizes of others), which any decoder reads from the file."""
+    px = (px if px.ndim == 3 else px[..., None]).astype(float)
+    h, w, c = px.shape
+    if c == 3:
+        r, g, b = px[..., 0], px[..., 1], px[..., 2]
+        px = np.stack([0.299 * r + 0.587 * g + 0.114 * b, 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b], -1)
+    px = np.pad(px, ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge") - 128
+    u = np.arange(8)
+    wave = np.cos((2 * u[None, :] + 1) * u[:, None] * np.pi / 16) / 2
+    wave[0] /= np.sqrt(2)
+    steps = np.clip(np.rint(1 + (1 + u[:, None] + u[None, :]) * (100 - quality) / 25), 1, 255)
+    zigzag = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+    tiles = px.reshape(px.shape[0] // 8, 8, px.shape[1] // 8, 8, c).transpose(0, 2, 4, 1, 3)
+    values = np.rint(wave @ tiles @ wave.T / steps).astype(int).reshape(-1, c, 64)[:, :, zigzag]
+    others = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    code = {v: f"{i:08b}" for i, v in enumerate(others)}
+    amount = lambda v: (n := int(abs(v)).bit_length(), f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else "")
+    out, before = [], [0] * c
+    for block in values.tolist():
+        for k, line in enumerate(block):
+            n, bits = amount(line[0] - before[k])
+            before[k] = line[0]
+            out.append(f"{n:04b}{bits}")
+            zeros, last = 0, max((i for i in range(63, 0, -1) if line[i]), default=0)
+            for v in line[1 : last + 1]:
+                if not v:
+                    zeros += 1
+                    continue
+                out.append(code[0xF0] * (zeros // 16))
+                n, bits = amount(max(-1023, min(1023, v)))
+                out.append(code[zeros % 16 << 4 | n] + bits)
+                zeros = 0
+            if last < 63:
+                out.append(code[0])
+    bits = "".join(out)
+    bits += "1" * (-len(bits) % 8)
+    body = int(bits, 2).to_bytes(len(bits) // 8).replace(b"\xff", b"\xff\x00")
+    part = lambda mark, data: b"\xff" + bytes([mark]) + struct.pack(">H", len(data) + 2) + data
+    lengths = lambda n, size: bytes(n if i == size else 0 for i in range(1, 17))
+    return b"".join([
+        b"\xff\xd8", part(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0"), part(0xDB, b"\0" + bytes(int(steps.reshape(-1)[i]) for i in zigzag)),
+        part(0xC0, struct.pack(">BHHB", 8, h, w, c) + b"".join(bytes([k + 1, 0x11, 0]) for k in range(c))),
+        part(0xC4, b"\x00" + lengths(12, 4) + bytes(range(12))), part(0xC4, b"\x10" + lengths(len(others), 8) + bytes(others)),
+        part(0xDA, bytes([c]) + b"".join(bytes([k + 1, 0]) for k in range(c)) + b"\0\x3f\0"), body, b"\xff\xd9",
+    ])
+
+
+FORMATS = {"jpg": jpg, "png": png, "pnm": pnm, "bmp": bmp, "tga": tga, "hdr": hdr}
 
 
 def encode(pixels: DataFrame, fmt: str = "png", flip: bool = False) -> DataFrame:
