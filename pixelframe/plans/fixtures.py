@@ -1,7 +1,7 @@
 """Images made from the driver tables, in Spark and in SQL.
 
 `gray`: events as one image 100 pixels wide; `rgb`: the same in color; `batch`: embeddings as small gray images, 8 pixels
-wide; `mask`: the same places as black and white.
+wide; `mask`: the same places as black and white; `rgb_batch`: the same in made colors; `gray_batch`: color images of gray.
 """
 
 from __future__ import annotations
@@ -40,6 +40,17 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("image_id", "y", "x", F.when(F.col("e") > -0.1, 255).otherwise(0).alias("v"))
 
 
+def rgb_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small color images; `i` numbers an image's pixels."""
+    b = batch(spark, sf_dir)
+    color = {"r": F.col("v"), "g": (F.col("v") * 7 + F.col("x") * 31) % 256, "b": (F.col("y") * 37 + F.col("x") * 11 + F.col("v")) % 256, "i": F.col("y") * 8 + F.col("x")}
+    return b.select("image_id", "y", "x", *[c.cast("int").alias(n) for n, c in color.items()])
+
+
+def gray_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch(spark, sf_dir).select("image_id", "y", "x", *[F.col("v").alias(c) for c in "rgb"])
+
+
 SQL = f"""
 gray AS (SELECT 'events' AS image_id, (event_id // {WIDTH})::INT AS y, (event_id % {WIDTH})::INT AS x, least(255, floor(value))::INT AS v FROM events),
 rgb AS (SELECT 'events' AS image_id, (event_id // {WIDTH})::INT AS y, (event_id % {WIDTH})::INT AS x, least(255, floor(value))::INT AS r,
@@ -47,5 +58,7 @@ rgb AS (SELECT 'events' AS image_id, (event_id // {WIDTH})::INT AS y, (event_id
 cells AS (SELECT image_id, (p // 8)::INT AS y, (p % 8)::INT AS x, e::DOUBLE AS e
           FROM (SELECT vec_id AS image_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS p FROM embeddings)),
 batch AS (SELECT image_id, y, x, greatest(0, least(255, floor((e + 1) * 127.5::DOUBLE)))::INT AS v FROM cells),
-mask AS (SELECT image_id, y, x, CASE WHEN e > -0.1::DOUBLE THEN 255 ELSE 0 END AS v FROM cells)
+mask AS (SELECT image_id, y, x, CASE WHEN e > -0.1::DOUBLE THEN 255 ELSE 0 END AS v FROM cells),
+rgb_batch AS (SELECT image_id, y, x, v AS r, (v * 7 + x * 31) % 256 AS g, (y * 37 + x * 11 + v) % 256 AS b, y * 8 + x AS i FROM batch),
+gray_batch AS (SELECT image_id, y, x, v AS r, v AS g, v AS b FROM batch)
 """
