@@ -269,7 +269,8 @@ def _across(weighed: DataFrame, minis: DataFrame, texts: DataFrame, roots: DataF
                 left.update(near.tolist())
         out = rows.select(["key", "x", "y", "stray", "c", "root"]).take(pa.array(sorted(left), pa.int64()))
         del block
-        release()
+        if rows.num_rows > BLOCK:
+            release()
         return out
 
     shape = "key long, x int, y int, stray boolean, c long, root long"
@@ -308,8 +309,9 @@ def _across(weighed: DataFrame, minis: DataFrame, texts: DataFrame, roots: DataF
                     group[top(int(root[i]))] = top(int(root[k]))
         u, v = zip(*links, strict=True) if links else ((), ())
         sets.clear()
-        forget()
-        release()
+        if rows.num_rows > BLOCK:
+            forget()
+            release()
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     full = left.join(signs, "c").join(texts.hint("merge"), "c")
