@@ -3,7 +3,7 @@
     python -m pixelframe.cli otsu IN OUT
     python -m pixelframe.cli threshold IN OUT --level 100
     python -m pixelframe.cli edges IN OUT --overflow saturate
-    python -m pixelframe.cli kmeans IN OUT --k 3 --rounds 20
+    python -m pixelframe.cli kmeans IN OUT --k 3 --rounds 20 --format jpg
 """
 
 from __future__ import annotations
@@ -28,19 +28,15 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--overflow", choices=["wrap", "saturate"], default="wrap")
     p.add_argument("--k", type=int, default=3)
     p.add_argument("--rounds", type=int, default=20)
+    p.add_argument("--seed", type=int, help="draw starting centroids at random")
     p.add_argument("--format", choices=sorted(writers.FORMATS), default="png")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("pixelframe").getOrCreate()
     began = time.perf_counter()
-    found = images.read_images(spark, a.source)
+    found = images.read_any(spark, a.source)
     keys = ["image_id"]
     if a.operator == "kmeans":
-        for row in found.select("path").collect():  # centroids belong to one image
-            px = images.pixels(found.where(F.col("path") == row["path"]), 3).persist()
-            width = px.agg(F.max("x")).first()[0] + 1
-            px = px.withColumn("i", F.col("y").cast("long") * width + F.col("x"))
-            writers.save(kmeans.repaint(px, kmeans.k_means(px, a.k, a.rounds, order="i")).select("image_id", "y", "x", "r", "g", "b"), a.target, a.format)
-            px.unpersist()
+        out = kmeans.painted(kmeans.k_means_by_image(images.pixels(found, 3), keys, a.k, a.rounds, seed=a.seed)).drop("cluster")
     else:
         gray = images.pixels(found, 1)
         if a.operator == "otsu":
@@ -49,7 +45,7 @@ def main(argv: list[str] | None = None) -> None:
             out = gray.withColumn("v", threshold(F.col("v"), a.level))
         else:
             out = convolve.edges(gray, keys, overflow=a.overflow).select("image_id", "y", "x", F.col("edge").alias("v"))
-        writers.save(out, a.target, a.format)
+    writers.save(out, a.target, a.format)
     print(f"{time.perf_counter() - began:.3f} s")
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pixelframe.functions import pixel
-from pixelframe.operators import convolve, histogram, kmeans, morphology, watershed
+from pixelframe.operators import convolve, histogram, kmeans, morphology, per_image, watershed
 
 KEYS = ["image_id"]
 
@@ -202,3 +202,173 @@ def test_watershed_pipeline_on_color(spark):
     px = pixels(spark, g).selectExpr("image_id", "y", "x", "v as r", "v as g", "v as b")
     got = grid(watershed.pipeline(px, KEYS, min_distance=3), "label", g.shape)
     assert ((got > 0) == (g > 0)).all()
+
+
+def with_nulls(spark):
+    """Three images, one without a name, each with a pixel that has no value."""
+    rows = [(name, y, x, None if (y, x) == (1, 1) else 10 * y + 40 * x + k) for k, name in enumerate(["a", None, "b"]) for y in range(3 + k) for x in range(4)]
+    return rows, spark.createDataFrame(rows, "image_id string, y int, x int, v int")
+
+
+def test_null_values_and_null_images(spark):
+    rows, px = with_nulls(spark)
+    hist = histogram.histogram(px, KEYS)
+    assert {r["image_id"]: r["n"] for r in hist.groupBy("image_id").agg(F.sum("n").alias("n")).collect()} == {"a": 11, None: 15, "b": 19}
+    assert histogram.histogram(px, KEYS, dense=False).where("v is null").count() == 0
+    cuts = {r["image_id"]: r["threshold"] for r in histogram.otsu_threshold(px, KEYS).collect()}
+    assert cuts == {k: otsu_loop([v for i, _, _, v in rows if i == k and v is not None]) for k in ("a", None, "b")}
+    for most in (100, 0):  # broadcast and merged
+        bw = {(r["image_id"], r["y"], r["x"]): r["bw"] for r in histogram.otsu_binarize(px, KEYS, broadcast_rows=most).collect()}
+        assert bw == {(i, y, x): 255 if v is not None and v > cuts[i] else 0 for i, y, x, v in rows}
+    empty = px.where("v is null")
+    assert {r["threshold"] for r in histogram.otsu_threshold(empty, KEYS).collect()} == {0}
+    assert histogram.otsu_threshold(px.limit(0), KEYS).count() == 0 and histogram.otsu_threshold(px.limit(0), []).first()["threshold"] == 0
+
+
+@pytest.mark.parametrize("kernel", [convolve.SOBEL_H, convolve.BOX, [[0, -1, 0], [-1, 5, -1], [0, -1, 0]]])
+def test_forms_of_convolution_agree_on_nulls(spark, kernel):
+    rows, px = with_nulls(spark)
+    want = {}
+    for k, name in enumerate(["a", None, "b"]):
+        g = np.array([0 if v is None else v for i, _, _, v in rows if i == name]).reshape(3 + k, 4)
+        want |= {(name, y, x): v for (y, x), v in np.ndenumerate(conv_loop(g, kernel))}
+    for form in (convolve.scatter(px, KEYS, kernel), convolve.banded(px, KEYS, kernel, band=2), convolve.convolve(px, KEYS, kernel)):
+        assert {(r["image_id"], r["y"], r["x"]): r["g"] for r in form.collect()} == want
+
+
+def test_flip_by_each_image_s_height(spark):
+    rows, px = with_nulls(spark)
+    got = {(r["image_id"], r["y"], r["x"]): r["v"] for r in per_image.flip_vertical(px, KEYS).collect()}
+    height = {"a": 3, None: 4, "b": 5}
+    assert got == {(i, height[i] - 1 - y, x): v for i, y, x, v in rows}
+    assert per_image.flip_vertical(px.limit(0), KEYS).count() == 0
+
+
+def test_images_that_span_batches(spark):
+    # one image over many Arrow batches beside many small ones, in one task
+    rows = [("big", y, x, 1) for y in range(60) for x in range(60)] + [(f"s{i}", 0, x, x % 2) for i in range(300) for x in range(5)] + [(None, 0, 0, 1)]
+    px = spark.createDataFrame(rows, "image_id string, y int, x int, v int").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = per_image.by_image(px, KEYS, ["v"], lambda image: {"n": np.full(len(image["y"]), len(image["y"])), "s": np.full(len(image["y"]), image["v"].sum() / 2)}, "n long, s double")
+        assert {(r["image_id"], r["n"], r["s"]) for r in got.collect()} == {("big", 3600, 1800.0), (None, 1, 0.5), *((f"s{i}", 5, 1.0) for i in range(300))}
+        labels = morphology.connected_components(px, KEYS)
+        assert {r["image_id"]: r["n"] for r in labels.groupBy("image_id").agg(F.max("label").alias("n")).collect()} == {"big": 1, None: 1, **{f"s{i}": 2 for i in range(300)}}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("mean", ["double", "int"])
+def test_k_means_by_image(spark, mean):
+    rng = np.random.default_rng(13)
+    shapes = {"a": (6, 8), "b": (5, 5), None: (2, 1), "d": (7, 6)}
+    images = {k: [(x, y, *map(int, rng.integers(0, 4, 3) * 60)) for y in range(h) for x in range(w)] for k, (h, w) in shapes.items()}
+    df = spark.createDataFrame([(k, *p) for k, px in images.items() for p in px], "image_id string, x int, y int, r int, g int, b int").repartition(3)
+    for rounds in (1, 5, 40):
+        got = {(r["image_id"], r["y"], r["x"]): r for r in kmeans.k_means_by_image(df, KEYS, 4, rounds, mean=mean).collect()}
+        for name, px in images.items():
+            means, own = kmeans_loop(px, min(4, len(px)), rounds, mean == "int")
+            for p, c in zip(px, own, strict=True):
+                r = got[name, p[1], p[0]]
+                assert (r["cluster"], tuple(r[f"c{a}"] for a in "xyrgb")) == (c, means[c])
+    painted = kmeans.painted(kmeans.k_means_by_image(df, KEYS, 4, 5, mean=mean))
+    assert painted.columns == ["image_id", "y", "x", "cluster", "r", "g", "b"]
+    one, two = (sorted(map(repr, kmeans.k_means_by_image(df, KEYS, 4, 5, seed=3).collect())) for _ in range(2))
+    assert one == two
+
+
+def test_k_means_from_seeded_pixels(spark):
+    px = [(i % 6, i // 6, (i * 37) % 256, (i * 91) % 256, (i * 11) % 256) for i in range(48)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(px)], "i int, x int, y int, r int, g int, b int")
+    first = kmeans.initial(df, 5, "i", seed=9)
+    assert first == kmeans.initial(df, 5, "i", seed=9) != kmeans.initial(df, 5, "i", seed=10) and set(first) <= {tuple(map(float, p)) for p in px}
+    assert kmeans.k_means(df, 5, 3, order="i", seed=9).centroids == kmeans.k_means(df, 5, 3, order="i", seed=9).centroids
+
+
+def shift_loop(image, space, color, rounds):
+    out = image.astype(float).copy()
+    h, w = image.shape[:2]
+    for y in range(h):
+        for x in range(w):
+            cy, cx, c = float(y), float(x), image[y, x].astype(float)
+            for _ in range(rounds):
+                near = [(j, i) for j in range(h) for i in range(w) if abs(j - round(cy)) <= space and abs(i - round(cx)) <= space and ((image[j, i] - c) ** 2).sum() <= color * color]
+                if not near:
+                    break
+                ny, nx = np.mean([p[0] for p in near]), np.mean([p[1] for p in near])
+                nc = np.mean([image[p] for p in near], 0)
+                moved = abs(ny - cy) + abs(nx - cx) + np.abs(nc - c).sum()
+                cy, cx, c = ny, nx, nc
+                if moved < 1:
+                    break
+            out[y, x] = np.rint(c)
+    return out
+
+
+@pytest.mark.parametrize("pairwise", [1 << 12, 0])
+def test_mean_shift(spark, monkeypatch, pairwise):
+    import pixelframe.operators.watershed as module
+
+    image = np.random.default_rng(11).integers(0, 120, (7, 9, 3))
+    image[:, 4:] += 100
+    rows = [("i0", y, x, *map(int, image[y, x])) for y in range(7) for x in range(9)]
+    df = spark.createDataFrame(rows, "image_id string, y int, x int, r int, g int, b int")
+    want = shift_loop(image, 2, 60, 4)
+    # the choice of form is made in the task, so both are also held against each other here
+    got = watershed.mean_shift(df, KEYS, 2, 60, 4)
+    assert all((grid(got, c, (7, 9)) == want[..., k]).all() for k, c in enumerate("rgb"))
+    places, colors = np.argwhere(np.ones((7, 9))).astype(float), image.reshape(-1, 3).astype(float)
+    at = (places[:, 0] + 0.5, places[:, 1] - 0.25, colors + 3)
+    for one, two in zip(module._near_pairs(places, colors, *at, 2, 60), module._near_offsets(image.astype(float), np.ones((7, 9), bool), *at, 2, 60), strict=True):
+        assert (one == two).all()
+
+
+def test_peaks_by_label_and_away_from_the_border(spark):
+    g = np.random.default_rng(5).integers(1, 9, (9, 11))
+    label = np.where(np.arange(11) < 5, 1, 2) * np.ones((9, 1), int)
+    label[4] = 0
+    rows = [("i0", y, x, int(g[y, x]), int(label[y, x])) for y in range(9) for x in range(11)]
+    px = spark.createDataFrame(rows, "image_id string, y int, x int, v int, part int")
+
+    def peaks(radius, border, by_label):
+        out = set()
+        for y in range(9):
+            for x in range(11):
+                if by_label and not label[y, x]:
+                    continue
+                near = [g[j, i] for j in range(max(0, y - radius), min(9, y + radius + 1)) for i in range(max(0, x - radius), min(11, x + radius + 1)) if not by_label or label[j, i] == label[y, x]]
+                if g[y, x] == max(near) and g[y, x] > 2 and border <= y <= 8 - border and border <= x <= 10 - border:
+                    out.add((y, x))
+        return out
+
+    for border in (0, 2):
+        for part in (None, "part"):
+            got = morphology.local_maxima(px, KEYS, 2, "v", 2, border=border, label=part)
+            assert got.columns == px.columns and {(r["y"], r["x"]) for r in got.collect()} == peaks(2, border, part is not None)
+
+
+def test_watershed_of_images_without_a_name(spark):
+    g = np.zeros((9, 9), int)
+    g[2:7, 2:7] = 255
+    px = pixels(spark, g).withColumn("image_id", F.lit(None).cast("string"))
+    got = watershed.from_mask(px, KEYS, min_distance=3).collect()
+    assert len(got) == 81 and all((r["label"] > 0) == (g[r["y"], r["x"]] > 0) for r in got)
+
+
+@pytest.mark.parametrize("args", [["otsu"], ["threshold", "--level", "60"], ["edges", "--overflow", "saturate"], ["kmeans", "--k", "2", "--rounds", "3"], ["kmeans", "--k", "2", "--seed", "4", "--format", "pnm"]])
+def test_command_line(spark, tmp_path, capsys, args):
+    from pixelframe import cli
+    from pixelframe.sources import images, writers
+
+    (tmp_path / "in").mkdir()
+    px = np.random.default_rng(3).integers(0, 256, (6, 5, 3))
+    (tmp_path / "in" / "a.png").write_bytes(writers.png(px))
+    (tmp_path / "in" / "b.ppm").write_bytes(writers.pnm(px[::-1]))
+    cli.main([args[0], str(tmp_path / "in"), str(tmp_path / "out"), *args[1:]])
+    fmt = "pnm" if "pnm" in args else "png"
+    assert {f.name for f in (tmp_path / "out").iterdir() if f.suffix == f".{fmt}"} == {f"a.{fmt}", f"b.{fmt}"}
+    values = images.pixels(images.read_any(spark, str(tmp_path / "out")), 1 if args[0] != "kmeans" else 3).where("image_id not like '%/.%'")
+    assert values.count() == 60 and capsys.readouterr().out.strip().endswith("s")
+    if args[0] == "kmeans":
+        assert values.groupBy("image_id").agg(F.count_distinct("r", "g", "b").alias("n")).where("n > 2").count() == 0
