@@ -3,6 +3,9 @@
 Each half round is one aggregation (the least neighbour, summed up partly before the shuffle) and one join on the node,
 whose skewed partitions AQE splits; the rounds grow with the logarithm of a component's diameter. Links are written to
 the shared folder after each round, which cuts the lineage; only their count and a checksum come to the driver.
+
+Defined results: links with a null end, of a node with itself, and repeated ones count as none or once; an empty table of
+links gives an empty table; columns other than u and v are ignored.
 """
 
 from __future__ import annotations

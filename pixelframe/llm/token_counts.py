@@ -3,11 +3,11 @@
 A batch is re-cut by bytes, so that its memory does not depend on how long its texts are, and every text is split at safe
 boundaries before the tokenizer sees it. With byte-level BPE a new pre-token always begins at a single space that stands
 between two non-space characters, and on both sides of a single line feed between two non-space characters; splitting
-there changes no token. The pieces repeat a lot, so their lengths are kept in a bounded table for the life of the worker;
-only pieces not seen before are encoded, in batches, by the tokenizers library.
+there changes no token. The pieces repeat a lot, so their lengths are kept in a table for the life of a task, bounded in
+entries and in characters; only pieces not seen before are encoded, in batches, by the tokenizers library.
 
-Defined results: a null text counts as empty (0 tokens, 0 bytes); repeated rows give repeated rows; an empty table gives
-an empty table; columns other than the id and the text are ignored, so clashing names do no harm.
+Defined results: a null text counts as empty (0 tokens, 0 bytes); repeated rows give repeated rows; very long texts are
+counted whole, and a piece without any safe boundary is encoded whole; an empty table gives an empty table; columns other than the id and the text are ignored, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pixelframe.llm.common import by_bytes
+from pixelframe.llm.common import bounded_arrow, by_bytes, released
 
 #: White space that the fast split does not handle: runs of two, or any other than space and line feed.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 #: A safe boundary whatever surrounds it: before a space that a non-space follows.
 _BEFORE_WORD = re.compile(r"(?= \S)")
-#: Lengths kept by a worker; about 100 bytes each.
-CACHE_ENTRIES = 600_000
+#: Lengths kept by a task, about 100 bytes each, and the characters of their pieces.
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 16 << 20
 BATCH_BYTES = 4 << 20
 
 
@@ -41,6 +41,7 @@ class PieceLengths:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.on_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.known: dict[str, int] = {}
+        self.chars = 0
 
     def _pieces(self, text: str) -> tuple[list[str], int]:
         """Pieces to count, and tokens already certain (line feeds and special strings)."""
@@ -69,8 +70,10 @@ class PieceLengths:
         new = [p for p in pieces if p not in self.known]
         if not new:
             return
-        if len(self.known) + len(new) > CACHE_ENTRIES:
+        if len(self.known) + len(new) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
             self.known = {p: self.known[p] for p in pieces if p in self.known}
+            self.chars = sum(map(len, self.known))
+        self.chars += sum(map(len, new))
         stems = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()}
         to_encode = [p for p in {stems.get(p, p) for p in new} if p not in self.known]
         for i in range(0, len(to_encode), 4096):
@@ -88,8 +91,14 @@ class PieceLengths:
 _held: dict[str, PieceLengths] = {}
 
 
+def forget() -> None:
+    """Empty the tables of pieces."""
+    for held in _held.values():
+        held.known, held.chars = {}, 0
+
+
 def lengths_of(tokenizer_file: str) -> PieceLengths:
-    """One per worker and file: its table of pieces lives as long as the worker."""
+    """One per worker and file."""
     if tokenizer_file not in _held:
         _held[tokenizer_file] = PieceLengths(tokenizer_file)
     return _held[tokenizer_file]
@@ -110,6 +119,7 @@ def token_counts(df: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id",
             size = pc.cast(pc.fill_null(pc.binary_length(batch.column("__text")), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("__id"), size, n, pc.greater(n, limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
+    bounded_arrow(df.sparkSession)
     src = df.select(df[id_col].alias("__id"), df[text_col].alias("__text"))
-    out = src.mapInArrow(count, f"id {src.schema['__id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    out = src.mapInArrow(released(count, forget), f"id {src.schema['__id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

@@ -55,6 +55,16 @@ def test_counts_with_a_full_table_of_pieces(monkeypatch, rows):
     assert [held.count([t])[0] for _, t in rows] == [len(e) for e in want]
 
 
+def test_counts_with_long_pieces_hold_few_characters(monkeypatch, rows):
+    monkeypatch.setattr(token_counts, "CACHE_CHARS", 4000)
+    held = token_counts.PieceLengths(tokenizer_path("byte_bpe_50k.json"))
+    more = [(0, "x" * n + " y" * 3) for n in (900, 2000, 3000, 5000)] + rows
+    _, want = library("byte_bpe_50k.json", more)
+    for (_, text), e in zip(more, want, strict=True):
+        assert held.count([text])[0] == len(e)
+    assert held.chars < 4000 + max(len(t or "") for _, t in more)
+
+
 @pytest.mark.parametrize("block", [2000, 48 << 20])
 def test_digests(docs, rows, monkeypatch, block):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
