@@ -124,7 +124,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, width: int, percent: int,
     """(rid, id, n, d1, d2, bands, mini, packed, rest) of every row, written. rid tells rows apart; rest has the columns
     to carry along."""
     bounded_arrow(df.sparkSession)
-    src = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.struct(F.lit(True).alias("__row"), *[df[c] for c in carry]).alias("rest"))
+    src = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.struct(F.lit(True).alias("row"), *[df[c].alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest"))
     n_bands, n_rows = banding(percent)
     id_type, rest_type = src.schema["id"].dataType, src.schema["rest"].dataType
 
@@ -367,7 +367,7 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     got = _grouped(rows, width, percent).where("kept")
     stay = got.groupBy("root").agg(F.min("rid").alias("rid")).where("root is not null").select("rid").unionByName(got.where("root is null").select("rid"))
     kept = rows.select("rid", "id", "packed", "rest").join(stay.hint("merge"), "rid")
-    flat = kept.select("id", "packed", *[F.col(f"rest.{c}").alias(f"c{i}") for i, c in enumerate(rest)])
+    flat = kept.select("id", "packed", *[F.col("rest")[f"c{i}"].alias(f"c{i}") for i in range(len(rest))])
     shape = T.StructType([flat.schema["id"], T.StructField("packed", T.StringType()), *flat.schema.fields[2:]])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

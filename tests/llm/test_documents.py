@@ -38,6 +38,18 @@ def rules(text):
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), rep, n < 50 or 100 * rep > 50 * n
 
 
+def host_rates(failed):
+    """Each host's shrunk rate of failures, from (host, failed) of all rows."""
+    hosts = defaultdict(list)
+    for s, f in failed:
+        hosts[s].append(f)
+    n = len(failed)
+    m = sum(map(sum, hosts.values())) / n
+    spread = sum(sum(x) ** 2 / len(x) for x in hosts.values()) / n - m * m - m * (1 - m) * len(hosts) / n
+    strength = min(max(m * (1 - m) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
+    return {s: (sum(x) + m * strength) / (len(x) + strength) for s, x in hosts.items()}
+
+
 def test_quality(spark, monkeypatch):
     rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 5}") for i, t in enumerate(texts())]
     rows += [(900 + i, "bad", "en", "junk") for i in range(60)] + [(990, " ".join(VOCABULARY), "en", "junk"), (990, " ".join(VOCABULARY), "en", "junk")]
@@ -49,14 +61,7 @@ def test_quality(spark, monkeypatch):
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
         for r in got:
             assert tuple(r[c] for c in names) == want[r["doc_id"]], rows[r["doc_id"]] if r["doc_id"] < len(rows) else r
-    hosts = defaultdict(list)
-    for i, _, _, s in rows:
-        hosts[s].append(want[i][5])
-    n = len(rows)
-    m = sum(map(sum, hosts.values())) / n
-    spread = sum(sum(x) ** 2 / len(x) for x in hosts.values()) / n - m * m - m * (1 - m) * len(hosts) / n
-    strength = min(max(m * (1 - m) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
-    rate = {s: (sum(x) + m * strength) / (len(x) + strength) for s, x in hosts.items()}
+    rate = host_rates([(s, want[i][5]) for i, _, _, s in rows])
     kept = {i: not want[i][5] and rate[s] <= 0.75 for i, _, _, s in rows}
     assert {r["doc_id"]: r["kept"] for r in got} == kept and not kept[990] and rate["junk"] > 0.75
     stays = quality.keep(frame(spark, [(*r, 1, "c", 2, 3, 4) for r in rows], ", __words int, n_words string, __host int, __row int, __base_failed int"))
@@ -163,6 +168,32 @@ def test_language(spark):
     assert kept.columns == mixed.columns and {(r["__lang"], r["row"]) for r in kept.collect() if r["doc_id"] == 5} == {("p", "q")}
 
 
+def language_loop(model, text):
+    """(label, score) of a text by plain loops over its n-grams, from the model's weights."""
+    m = 1 << 32
+    low = [c if c.isalpha() else " " for c in (text or "").lower()]
+    if not any(c != " " for c in low):
+        return "und", 0.0
+    low = [c for i, c in enumerate(low) if i == 0 or c != " " or low[i - 1] != " "]
+    a = [ord(c) * 0x9E3779B1 % m for c in [" ", *low, " "]]
+    b = [(x ^ (y >> 7)) * 0x85EBCA6B % m for x, y in zip(a, a[1:], strict=False)]
+    c = [(x ^ (y >> 11)) * 0xC2B2AE35 % m for x, y in zip(b, a[2:], strict=False)]
+    counts = Counter((x ^ (x >> 15)) * 0x27D4EB2F % m >> 19 for x in [*a, *b, *c])
+    total = sum(counts.values())
+    vector = {k: math.sqrt(n / total) for k, n in counts.items()}
+    chance = lambda w: 1 / (1 + math.exp(-4 * (sum(float(w[k]) * v for k, v in vector.items()) + float(w[-1]))))
+    families = {f: 1.0 if len(model.families.labels) == 1 else chance(w) for f, w in zip(model.families.labels, model.families.weights, strict=True)}
+    family = max(families, key=families.get)
+    inner = model.within[family]
+    scores = dict.fromkeys(inner.labels, 0.0 if len(inner.labels) > 1 else 1.0)
+    for (i, j), w in zip(inner.pairs, inner.weights, strict=True):
+        p = chance(w) / (len(inner.labels) - 1)
+        scores[inner.labels[i]] += p
+        scores[inner.labels[j]] += 1 / (len(inner.labels) - 1) - p
+    label = max(scores, key=scores.get)
+    return label, scores[label] * families[family]
+
+
 def test_language_with_copies_and_with_many_labels(spark):
     r = random.Random(6)
     say = lambda lang, n: " ".join(r.choice(SAMPLE[lang].split()) for _ in range(n))
@@ -211,6 +242,32 @@ def mix_loop(rows):
     return size, by, {s: 3.0 * by[s] if s in capped else weight[s] * level for s in order}
 
 
+def mix_copies(rows):
+    """(copies, ranks) by id: the mix by sorting each source by its Pareto ranks."""
+    size, by, target = mix_loop(rows)
+    text, source = {i: t for i, t, _, _ in rows}, {i: s for i, _, _, s in rows}
+    filled = Counter(s for i, s in source.items() if size[i])
+    copies, ranks = {}, {}
+    for s in by:
+        base = math.floor(target[s] / by[s]) if by[s] else 0
+        want = target[s] - base * by[s]
+        own = [i for i, of in source.items() if of == s]
+        copies |= dict.fromkeys(own, base)
+        if want <= 1e-6:
+            continue
+        for i in own:
+            bits = int(hashlib.md5(f"{i}:{hashlib.md5((text[i] or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16)
+            u, p = (bits + 0.5) / 2**52, want / by[s]
+            ranks[i] = u / (1 - u) / (p / (1 - p) * math.sqrt(by[s] / filled[s] / max(size[i], 1)))
+        order = sorted(own, key=ranks.__getitem__)
+        sums = [0]
+        for i in order:
+            sums.append(sums[-1] + size[i])
+        for i in order[: min(range(len(sums)), key=lambda k: abs(sums[k] - want))]:
+            copies[i] += 1
+    return copies, ranks
+
+
 def test_mixing(spark):
     r = random.Random(9)
     rows = [(i, t, "en", None if i % 11 == 0 else f"s{(i * i) % 7}") for i, t in enumerate(texts(5, 400))]
@@ -229,26 +286,8 @@ def test_mixing(spark):
         largest[s] = max(largest[s], g["size"])
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in by)
     # the same sample by sorting: odds differ between documents of a source, and the least ranks are taken
-    text = {i: t for i, t, _, _ in rows}
-    filled = Counter(s for i, _, _, s in rows if size[i])
-    ranks, copies = {}, {g["doc_id"]: g["copies"] for g in got}
-    for s in by:
-        want = target[s] - math.floor(target[s] / by[s]) * by[s] if by[s] else 0
-        if want <= 1e-6:
-            continue
-        for i, of in source.items():
-            if of == s:
-                bits = int(hashlib.md5(f"{i}:{hashlib.md5((text[i] or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16)
-                u, p = (bits + 0.5) / 2**52, want / by[s]
-                ranks[i] = u / (1 - u) / (p / (1 - p) * math.sqrt(by[s] / filled[s] / max(size[i], 1)))
-        order = sorted((ranks[i], i) for i, of in source.items() if of == s)
-        sums = [0]
-        for _, i in order:
-            sums.append(sums[-1] + size[i])
-        cut = min(range(len(sums)), key=lambda k: abs(sums[k] - want))
-        base = math.floor(target[s] / by[s])
-        drawn = {i for _, i in order[:cut]}
-        assert all(size[i] == 0 or copies[i] == base + (i in drawn) for _, i in order)
+    copies, ranks = mix_copies(rows)
+    assert all(g["copies"] == copies[g["doc_id"]] for g in got if g["size"])
     assert len(ranks) > 50 and all(math.isclose(g["pareto"], ranks[g["doc_id"]], rel_tol=1e-6) for g in got if g["doc_id"] in ranks)
     again = mixing.report(frame(spark, rows).repartition(5)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
@@ -405,3 +444,24 @@ def test_components(spark):
     got = {g["node"]: g["root"] for g in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_very_long_texts(spark):
+    # a text of 400,000 words beside a near copy and short ones
+    r = random.Random(5)
+    words = [r.choice(SAMPLE["en"].split()) + str(r.randrange(5000)) for _ in range(400_000)]
+    other = list(words)
+    other[1000] = "changed"
+    rows = [(1, " ".join(words), "en", "a"), (2, "\n".join(other), "en", "b"), (3, SAMPLE["fr"], "fr", "a"), (4, SAMPLE["en"], "en", "b")]
+    df = frame(spark, rows).repartition(2)
+    near = {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in minhash.near_duplicates(df).collect()}
+    assert near == {i: (n, c) for i, n, c in near_loop([(i, t) for i, t, _, _ in rows], 5, 80)} and near[2][1] == 1
+    measured = {g["doc_id"]: g for g in quality.report(df).collect()}
+    assert all((measured[i]["n_words"], measured[i]["n_repeat_words"], measured[i]["n_dup_lines"]) == (rules(t)[0], rules(t)[4], rules(t)[3]) for i, t, _, _ in rows)
+    mixed = {g["doc_id"]: g for g in mixing.report(df).collect()}
+    assert mixed[1]["size"] == 400_000 and {i: g["copies"] for i, g in mixed.items()} == mix_copies(rows)[0]
+    model = language.fit(df.where(~language.held_out(df["doc_id"])))
+    for g in language.report(df).collect():
+        label, score = language_loop(model, {i: t for i, t, _, _ in rows}[g["doc_id"]])
+        assert g["lang_pred"] == label and math.isclose(g["score"], score, abs_tol=1e-3)
+    assert {g["doc_id"]: g["n_bytes"] for g in sharding.assign_shards(df, 1000).collect()} == {i: len(t.encode()) for i, t, _, _ in rows}
