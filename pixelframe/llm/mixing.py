@@ -9,10 +9,11 @@ one takes them all (a factor that a whole source shares changes no rank, so the
 has U from a hash of its id and text and ranks by (U / (1 - U)) / odds; the lowest ranks are taken up to the cut at which
 the words taken come nearest to want (the fixed size, in words; of two equally near cuts the lower).
 
-The cut is found without sorting a source in one task: words are summed by source and bins of the rank r, the first
-BIN_BITS bits of r / (1 + r); the running sum over those at most 65,536 sums names the one bin where want is reached, and
-only that bin's rows are sorted. The cut lies near r = 1, where bins are finest. A source's verdict is then a few numbers,
-joined back to the rows; rows themselves are never shuffled.
+The cut is found without sorting a source in one task: words are summed by source and bins of the rank r, the first 8 bits
+of r / (1 + r); the running sum over those at most 257 sums names the one bin where want is reached. That bin's rows are
+summed by 8 more bits in the same way, and only the rows of the one bin found then are sorted. The cut lies near r = 1,
+where bins are finest. A source's verdict is then a few numbers, joined back to the rows; rows themselves are never
+shuffled.
 
 Defined results: null text has size 0, and counts as size 1 in its odds; a source without words has target 0; rows that
 agree in id and text share one U and are taken or left together; very long texts are counted whole; an empty table gives an
@@ -95,10 +96,18 @@ def mixed(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
         sampled = join_small(sizes, plan.where("want > 0"), key, "inner", 140, n_sources).withColumn("pareto", rank_value())
         sampled = sampled.select(*key, "want", "__size", "pareto", bin_of.alias("bin"))
-        bins = sampled.groupBy(*key, "want", "bin").agg(F.sum("__size").alias("words"))
         upto = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        bins = bins.withColumn("upto", F.sum("words").over(upto)).where("upto >= want and upto - words < want")
-        bins = written(bins.select(*key, "bin", (F.col("upto") - F.col("words")).alias("below"), "want"), "crossing")
+
+        def crossing(rows: DataFrame, name: str) -> DataFrame:
+            """(key, bin, below, want): the bin in which each source's running words reach want, given those below all bins."""
+            summed = rows.groupBy(*key, "want", "below", "bin").agg(F.sum("__size").alias("words"))
+            reached = summed.withColumn("upto", F.col("below") + F.sum("words").over(upto)).where("upto >= want and upto - words < want")
+            return written(reached.select(*key, "bin", (F.col("upto") - F.col("words")).alias("below"), "want"), name)
+
+        half = BIN_BITS // 2
+        coarse = crossing(sampled.withColumn("bin", F.shiftright("bin", half)).withColumn("below", F.lit(0).cast("long")), "coarse")
+        fine = join_small(sampled.drop("want").withColumn("first", F.shiftright("bin", half)), coarse.withColumnRenamed("bin", "first"), [*key, "first"], "inner", 140, n_sources)
+        bins = crossing(fine, "crossing")
 
         inside = join_small(sampled.drop("want"), bins, [*key, "bin"], "inner", 140, n_sources)
         inside = inside.groupBy(*key, "bin", "below", "want", "pareto").agg(F.sum("__size").alias("words"))
