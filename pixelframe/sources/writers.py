@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.operators.per_image import together, whole_images
+
 
 def png(px: np.ndarray, level: int = 8) -> bytes:
     """An 8-bit PNG (h, w) or (h, w, 3), each row with the filter whose signed sum is least."""
@@ -120,15 +123,20 @@ FORMATS = {"jpg": jpg, "png": png, "pnm": pnm, "bmp": bmp, "tga": tga, "hdr": hd
 def encode(pixels: DataFrame, fmt: str = "png", flip: bool = False) -> DataFrame:
     """(image_id, file) of pixel rows (image_id, y, x, v) or (image_id, y, x, r, g, b); pixels that are missing are black."""
     make, color = FORMATS[fmt], "v" not in pixels.columns
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        px = np.zeros((h, w, 3) if color else (h, w), np.uint8)
-        px[pdf["y"], pdf["x"]] = pdf[["r", "g", "b"]].to_numpy() if color else pdf["v"].to_numpy()
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "file": [make(px[::-1] if flip else px)]})
-
-    cols = ["image_id", "y", "x", *("rgb" if color else "v")]
-    return pixels.select(F.col("image_id").cast("string").alias("image_id"), *cols[1:]).groupBy("image_id").applyInPandas(work, "image_id string, file binary")
+    values = list("rgb" if color else "v")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for images in whole_images(batches, ["image_id"]):
+            files = []
+            for i in images.each(["y", "x", *values]):
+                px = np.zeros((int(i["y"].max()) + 1, int(i["x"].max()) + 1, len(values)), np.uint8)
+                px[i["y"], i["x"]] = np.stack([i[c] for c in values], 1)
+                px = px[::-1] if flip else px
+                files.append(make(px if color else px[..., 0]))
+            yield pa.RecordBatch.from_arrays([images.table.column("image_id").take(pa.array(images.starts)).combine_chunks(), pa.array(files, pa.binary())], ["image_id", "file"])
+
+    named = pixels.select(F.col("image_id").cast("string").alias("image_id"), "y", "x", *values)
+    return together(named, ["image_id"], values).mapInArrow(work, "image_id string, file binary")
 
 
 def save(pixels: DataFrame, folder: str, fmt: str = "png", flip: bool = False) -> None:
