@@ -27,6 +27,7 @@ block is a block of its own and is encoded whole; an empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 
 from pixelframe.llm.common import bounded_arrow, by_bytes, release, released, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 2 << 20
 #: Words whose ids a task holds for one bucket.
 WORDS_HELD = 500_000
@@ -91,9 +92,9 @@ def parts_of(run: bytes) -> tuple[bytes, ...]:
     return (run if b"<|" in run else run.lower(),)
 
 
-def words_of(runs: dict[bytes, None]) -> list[bytes]:
-    """A block's distinct words in the order in which its distinct runs first have them."""
-    return list(dict.fromkeys(w for r in runs for w in parts_of(r)))
+def words_of(cut: list[tuple[bytes, ...]]) -> list[bytes]:
+    """A block's distinct words in the order in which its distinct runs, given as their words, first have them."""
+    return list(dict.fromkeys(itertools.chain.from_iterable(cut)))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -138,7 +139,7 @@ def block_words(src: DataFrame, buckets: int) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for block, held in _blocks(batches):
-            got = words_of(_runs(held))
+            got = words_of([parts_of(r) for r in _runs(held)])
             order, ends = bucketed(got, buckets)
             starts = [0, *ends[:-1].tolist()]
             rows = [(k, pack(b" ".join([got[i] for i in order[start:end]]))) for k, (start, end) in enumerate(zip(starts, ends.tolist(), strict=True)) if end > start]
@@ -204,6 +205,37 @@ def block_ids(coded: dict[int, bytes], words: list[bytes], buckets: int) -> list
     return out
 
 
+class Spans:
+    """Values that belong to numbered runs, one run's after another's."""
+
+    def __init__(self, values: np.ndarray, ends: np.ndarray) -> None:
+        self.values, self.starts = values, np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        self.lengths = ends - self.starts if len(ends) else ends
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        """The values of these runs, in their order."""
+        n = self.lengths[runs]
+        upto = np.cumsum(n)
+        return self.values[np.repeat(self.starts[runs] - upto + n, n) + np.arange(upto[-1])] if len(n) else self.values[:0]
+
+
+def in_place(cut: list[tuple[bytes, ...]], book: dict[bytes, bytes], kind: str, piece: dict[int, str] | None) -> tuple[Spans, Spans | None]:
+    """The ids of the runs' words, and their pieces, each followed by a blank. An id without a piece decodes to nothing."""
+    sizes, parts = np.empty(len(cut), np.int64), []
+    for i, words in enumerate(cut):
+        parts.append(b"".join([book[w] for w in words]))
+        sizes[i] = len(parts[-1])
+    every = np.frombuffer(b"".join(parts), kind)
+    ends = np.cumsum(sizes) // every.itemsize
+    if piece is None:
+        return Spans(every, ends), None
+    used, at = np.unique(every, return_inverse=True)
+    said = [piece[i].encode() + b" " if i in piece else b"" for i in used.tolist()]
+    upto = np.concatenate([[0], np.cumsum(np.array(list(map(len, said)), np.int64)[at])]) if len(said) else np.zeros(1, np.int64)
+    text = b"".join(map(said.__getitem__, at.tolist()))
+    return Spans(every, ends), Spans(np.frombuffer(text, np.uint8), upto[ends])
+
+
 def block_pieces(coded: DataFrame, pieces: DataFrame) -> DataFrame:
     """(block, pieces): a block's distinct ids with their pieces. An id that the table lacks has no piece."""
     ids = coded.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("token_ids"))).alias("ids"))
@@ -244,33 +276,32 @@ def encode(df: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_c
         if not held:
             return pa.table([pa.array([], k) for k in [pa.int64(), *kinds]], names=names)
         runs = _runs(held)
-        words = words_of(runs)
+        cut = [parts_of(r) for r in runs]
+        words = words_of(cut)
         ids = block_ids({k: x for k, x in zip(coded.column("bucket").to_pylist(), coded.column("coded").to_pylist(), strict=True) if x is not None}, words, buckets)
+        piece: dict[int, str] = {}
         if digests and ids is not None:
             piece = {p["token_id"]: p["piece"] for row in coded.column("pieces") if row.is_valid for p in row.as_py()}
-        else:
-            piece = dict(enumerate(pieces_of(tokenizer_file))) if digests else {}
+        elif digests:
+            piece = dict(enumerate(pieces_of(tokenizer_file)))
         book = dict(zip(words, encode_words(tokenizer_file, words) if ids is None else ids, strict=True))
         del words, ids
-        narrow = id_kind(tokenizer_file)
-        wide, shown = {}, {}
-        for r in runs:
-            x = np.frombuffer(b"".join([book[w] for w in parts_of(r)]), narrow)
-            wide[r] = x.astype("<u4").tobytes()
-            if digests:
-                shown[r] = " ".join([piece[i] for i in x.tolist() if i in piece])
-        del book, runs
+        wide, shown = in_place(cut, book, id_kind(tokenizer_file), piece if digests else None)
+        del book, cut, piece
+        number = dict(zip(runs, range(len(runs)), strict=True))
+        del runs
         out: list[list] = [[] for _ in kinds]
         for batch in held:
             for text in batch.column("__text").cast(pa.binary()).to_pylist():
                 parts = text.split() if text else []
-                got = b"".join([wide[r] for r in parts])
+                found = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+                got = wide.of(found).astype("<u4")
                 if not digests:
-                    out[0].append(np.frombuffer(got, "<u4").astype(np.int32))
+                    out[0].append(got.astype(np.int32))
                     continue
-                out[0].append(len(got) // 4)
+                out[0].append(len(got))
                 out[1].append(hashlib.sha256(got).hexdigest())
-                out[2].append(hashlib.sha256(" ".join([x for r in parts if (x := shown[r])]).encode()).hexdigest())
+                out[2].append(hashlib.sha256(shown.of(found)[:-1]).hexdigest())
         ids_back = pa.chunked_array([b.column("__id") for b in held])
         return pa.table([ids_back, *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=names)
 
