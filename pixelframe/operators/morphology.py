@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelframe.operators.per_image import by_image, grid, join_images
+from pixelframe.tables import written
 
 
 def distance_transform(mask: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -116,47 +115,43 @@ def connected_components(mask: DataFrame, keys: list[str], value: str = "v", eig
     return by_image(mask.where(F.col(value) != 0), keys, [], lambda image: {"label": _label(image["y"], image["x"], eight)}, "label int")
 
 
-def components_of_large(mask: DataFrame, keys: list[str], folder: str, value: str = "v", eight: bool = True, band: int = 256) -> DataFrame:
+def components_of_large(mask: DataFrame, keys: list[str], folder: str | None = None, value: str = "v", eight: bool = True, band: int = 256) -> DataFrame:
     """(keys, y, x, root): components of images of any size; root is the least (y << 32) + x of the component.
 
     Tiles of `band` by `band` pixels are labelled each in one task, and only the pixels on tile borders, with their tile
     labels, take part in the iteration: the least label among touching ones goes around until nothing changes. Rounds are
-    written to `folder`, which all executors must see."""
-    spark = mask.sparkSession
+    written to `folder` (the shared one unless given), which all executors must see."""
     steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if eight else [(0, 1), (1, 0)]
-    shape = T.StructType([*(mask.schema[c] for c in keys), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField("part", T.LongType())])
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        code = pdf["y"].astype("int64") * (1 << 32) + pdf["x"]
-        pdf["part"] = code.groupby(_label(pdf["y"].to_numpy(), pdf["x"].to_numpy(), eight)).transform("min")
-        return pdf[[*keys, "y", "x", "part"]]
+    same = lambda a, b, *more: [*[F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys], *more]
+    of = lambda a: [F.col(f"{a}.{c}").alias(c) for c in keys]
 
-    def written(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    def tile(image: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        first = np.full(len(image["y"]) + 1, np.iinfo(np.int64).max)
+        label, code = _label(image["y"], image["x"], eight), image["y"].astype(np.int64) * (1 << 32) + image["x"]
+        np.minimum.at(first, label, code)
+        return {"part": first[label]}
 
     tiles = mask.where(F.col(value) != 0).select(*keys, F.col("y").cast("int"), F.col("x").cast("int"), F.floor(F.col("y") / band).alias("__ty"), F.floor(F.col("x") / band).alias("__tx"))
-    parts = written(tiles.groupBy(*keys, "__ty", "__tx").applyInPandas(tile, shape))
+    parts = written(by_image(tiles, [*keys, "__ty", "__tx"], [], tile, "part long").drop("__ty", "__tx"), folder)
     border = parts.where((F.col("y") % band).isin(0, band - 1) | (F.col("x") % band).isin(0, band - 1))
     near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])).alias("s")
     sent = border.select(*keys, "y", "x", F.col("part").alias("a"), near).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "a")
-    links = written(sent.join(border.withColumnRenamed("part", "b"), [*keys, "y", "x"]).where("a <> b").select(*keys, "a", "b").distinct())
+    met = sent.alias("p").join(border.alias("q"), same("p", "q", F.col("p.y") == F.col("q.y"), F.col("p.x") == F.col("q.x")))
+    links = written(met.select(*of("p"), "a", F.col("q.part").alias("b")).where("a <> b").distinct(), folder)
     both = links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = written(both.select(*keys, F.col("a").alias("part"), F.col("a").alias("root")).distinct())
+    roots = written(both.select(*keys, F.col("a").alias("part"), F.col("a").alias("root")).distinct(), folder)
     while True:
-        heard = both.join(roots, on=[*[both[c] == roots[c] for c in keys], both["b"] == roots["part"]]).select(*[both[c] for c in keys], F.col("a").alias("part"), "root")
+        heard = both.alias("p").join(roots.alias("q"), same("p", "q", F.col("p.b") == F.col("q.part"))).select(*of("p"), F.col("p.a").alias("part"), "q.root")
         least = roots.unionByName(heard).groupBy(*keys, "part").agg(F.min("root").alias("root"))
         # jump: a part takes the root of its root
-        jumped = least.alias("l").join(least.alias("m"), [*[F.col(f"l.{c}") == F.col(f"m.{c}") for c in keys], F.col("l.root") == F.col("m.part")])
-        new = written(jumped.select(*[F.col(f"l.{c}").alias(c) for c in keys], F.col("l.part").alias("part"), F.col("m.root").alias("root")))
-        moved = new.join(roots.withColumnRenamed("root", "old"), [*keys, "part"]).where("root <> old").limit(1).count()
+        jumped = least.alias("p").join(least.alias("q"), same("p", "q", F.col("p.root") == F.col("q.part")))
+        new = written(jumped.select(*of("p"), F.col("p.part").alias("part"), F.col("q.root").alias("root")), folder)
+        moved = new.alias("p").join(roots.alias("q"), same("p", "q", F.col("p.part") == F.col("q.part"))).where("p.root <> q.root").limit(1).count()
         roots = new
         if not moved:
             break
-    out = parts.join(roots, [*keys, "part"], "left")
-    return out.select(*keys, "y", "x", F.coalesce("root", "part").alias("root"))
+    out = parts.alias("p").join(roots.alias("q"), same("p", "q", F.col("p.part") == F.col("q.part")), "left")
+    return out.select(*of("p"), "p.y", "p.x", F.coalesce("q.root", "p.part").alias("root"))
 
 
 def segment_count(labels: DataFrame, keys: list[str]) -> DataFrame:

@@ -196,6 +196,7 @@ def _entries() -> list[tuple[str, Query, str | None]]:
         ("max_filter", lambda s, d: morphology.max_filter(f.batch(s, d), KEYS, 2), _with(_TOP.format(t="batch", c="v"), then="SELECT * FROM top")),
         ("local_maxima", lambda s, d: morphology.local_maxima(_edt(s, d), KEYS, 2, "dist"), _with(_DIST.format(t="mask"), _TOP.format(t="e", c="dist"), then=f"SELECT {place}, e.d2, top.dist FROM top JOIN e USING ({place}) WHERE top.dist = top AND top.dist > 0")),
         ("connected_components", _labels, _parts_sql("SELECT * FROM l")),
+        ("components_of_large", lambda s, d: morphology.components_of_large(f.mask(s, d), KEYS, band=3), _parts_sql("SELECT image_id, y, x, (min(f) // 8)::BIGINT * 4294967296 + min(f) % 8 AS root FROM RECURSIVE_r GROUP BY image_id, y, x")),
         ("segment_count", lambda s, d: morphology.segment_count(_labels(s, d), KEYS), _parts_sql("SELECT image_id, count(DISTINCT label) AS segments FROM l GROUP BY image_id")),
         ("speedup", lambda s, d: report.speedup(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value"), _with(then="SELECT user_id, event_id, value, CASE WHEN value <> 0 THEN first(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) / value END AS speedup FROM events")),
         ("kmeans_by_image", lambda s, d: kmeans.painted(kmeans.k_means_by_image(f.rgb_batch(s, d), KEYS, K, ROUNDS)), _with(_kmeans_by_sql(ROUNDS), then=f"SELECT a.image_id, y, x, cluster, trunc(m.r)::INT AS r, trunc(m.g)::INT AS g, trunc(m.b)::INT AS b FROM (SELECT image_id, y, x, cluster FROM a{ROUNDS}) a JOIN (SELECT image_id, cluster, r, g, b FROM m{ROUNDS}) m USING (image_id, cluster)")),

@@ -178,6 +178,8 @@ def test_components_of_large_images(spark, tmp_path):
     large = grid(morphology.components_of_large(px, KEYS, str(tmp_path), band=6), "root", g.shape)
     pairs = {(a, b) for a, b in zip(small[g > 0], large[g > 0], strict=True)}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    nameless = morphology.components_of_large(px.where("image_id = 'i0'").withColumn("image_id", F.lit(None).cast("string")), KEYS, str(tmp_path), band=6)
+    assert {(r["y"], r["x"], r["root"]) for r in nameless.collect()} == {(y, x, large[y, x]) for y, x in np.argwhere(g).tolist()}
 
 
 def test_flood(spark):
