@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelframe.tables import shared_dir
+
 #: A side of a join is broadcast only if its counted rows, at the given bytes each, stay below this.
 BROADCAST_BYTES = 16 << 20
 #: Most rows and bytes of an Arrow batch between the JVM and Python; a single longer row is a batch of its own.
@@ -23,23 +24,12 @@ ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, through Spark's own reader (any file system)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or what the context was given; a local one
-    is made only where neither is set, which is for tests on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
-        found = tempfile.mkdtemp(prefix="pixelframe-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    """A table of the input folder, through Spark's own reader (any file system). One of fewer files, and fewer splits by
+    its size, than the cluster has cores is dealt out to all of them; this moves at most one split for each core."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    few = size < cores * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) and len(df.inputFiles()) < cores
+    return df.repartition(cores) if few else df
 
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

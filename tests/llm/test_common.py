@@ -31,6 +31,15 @@ def test_scratch_keeps_only_what_is_written_outside(spark):
     common.discard(spark)
 
 
+def test_small_tables_are_dealt_out(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id", "id % 3 AS k")
+    for files in (1, 9):
+        rows.repartition(files).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+        got = common.table(spark, str(tmp_path), "t")
+        assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+        assert ("Repartition" in got._jdf.queryExecution().optimizedPlan().toString()) == (files == 1)
+
+
 def test_columns_packed_and_unpacked(spark):
     df = spark.createDataFrame([(1, "a", None)], "row int, c0 string, `__row` string")
     got = common.unpacked(df.select(common.packed(df).alias("row")), "row", df.columns)
