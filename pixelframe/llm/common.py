@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
@@ -35,12 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors, and keeps
     what was computed from being computed again by later readers. `folder` is one that outlives a `scratch`."""
-    path = f"{folder or _folders[-1:] and _folders[-1] or tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or _folder.get() or tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_folders: list[str] = []
+#: Where tables go inside a `scratch`; each thread of the driver has its own.
+_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
 
 
 def tables(spark: SparkSession) -> str:
@@ -51,12 +53,14 @@ def tables(spark: SparkSession) -> str:
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Tables written inside go at the end, but for those written to the folder that this gives."""
-    outer = _folders[-1] if _folders else tables(spark)
-    _folders.append(f"{outer}/scratch-{uuid.uuid4().hex}")
+    outer = _folder.get() or tables(spark)
+    inner = f"{outer}/scratch-{uuid.uuid4().hex}"
+    before = _folder.set(inner)
     try:
         yield outer
     finally:
-        discard(spark, _folders.pop())
+        _folder.reset(before)
+        discard(spark, inner)
 
 
 def discard(spark: SparkSession, folder: str | None = None) -> None:
