@@ -116,6 +116,15 @@ def test_channels_and_flip(spark, tmp_path):
     assert (back(images.pixels(read, 1, flip=True), False) == light[::-1]).all()
 
 
+@pytest.mark.parametrize("fmt", ["png", "pnm", "tga"])
+def test_flip_on_write(spark, tmp_path, fmt):
+    px = np.random.default_rng(5).integers(0, 256, (4, 3, 3))
+    writers.save(frame(spark, px), str(tmp_path), fmt, flip=True)
+    read = images.read_any(spark, str(tmp_path))
+    assert (back(images.pixels(read, 3), True) == px[::-1]).all()
+    assert (back(images.pixels(read, 3, flip=True), True) == px).all()
+
+
 def test_bad_files_are_left_out(spark, tmp_path):
     (tmp_path / "x.png").write_bytes(b"no image")
     assert images.read_images(spark, str(tmp_path)).count() == 0
