@@ -8,7 +8,7 @@ whatever the rows are, and rows are never gathered: they meet the directory by a
 
 Rows that agree in id and text have the same hash. If such a group alone is above the limit, it is split further by bits of
 a hash of row numbers that were written beforehand. A single row above the limit is a shard of its own, marked over_limit.
-Defined results: null text has no bytes; an empty table gives an empty table; other columns are ignored here and kept by
+Defined results: null text has no bytes; very long texts are measured whole; an empty table gives an empty table; other columns are ignored here and kept by
 `write_shards`.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import join_small, written
+from pixelframe.llm.common import join_small, packed, scratch, unpacked, written
 
 STEP = 10
 #: Bits of the hash of id and text, and of the row number's.
@@ -68,11 +68,18 @@ def assign_shards(df: DataFrame, limit: int, *, id_col: str = "doc_id", text_col
     return out.select(F.col("__id").alias(id_col), "n_bytes", "shard", "depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("over_limit"))
 
 
-def write_shards(df: DataFrame, path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write df with one folder per shard, named by its bits after a "b". Rows are numbered once and join their shard by number."""
-    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "to-shard")
-    named = assign_shards(rows.select(F.col("__row").alias("__rid"), F.col(text_col).alias("__t")), limit, id_col="__rid", text_col="__t")
-    rows.join(named.select(F.col("__rid").alias("__row"), F.concat(F.lit("b"), "shard").alias("shard_bits")), "__row").drop("__row").repartition("shard_bits").write.partitionBy("shard_bits").parquet(path)
+def write_shards(df: DataFrame, path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write df with one folder per shard, named by its bits after a "b", in a column shard_bits (with leading underscores
+    where df has one of that name); gives the column's name. Rows are numbered once and join their shard by number."""
+    name = "shard_bits"
+    while name in df.columns:
+        name = f"_{name}"
+    with scratch(df.sparkSession):
+        rows = written(df.select(packed(df).alias("row"), F.monotonically_increasing_id().alias("rid"), df[text_col].alias("t")), "to-shard")
+        named = assign_shards(rows.select("rid", "t"), limit, id_col="rid", text_col="t").select("rid", F.concat(F.lit("b"), "shard").alias("bits"))
+        out = unpacked(rows.join(named, "rid"), "row", df.columns, F.col("bits").alias(name))
+        out.repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 def oracle(limit: int) -> str:
