@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from pixelframe.llm import components, language, licenses, minhash, mixing, quality, sharding
 
@@ -381,6 +382,7 @@ def near_rows():
 
 
 def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(components, "GATHERED", 0)
     monkeypatch.setattr(minhash, "SMALL", 2)
     monkeypatch.setattr(minhash, "BLOCK", 16)
     rows = near_rows()
@@ -431,7 +433,9 @@ def test_banding_and_batches():
         assert tail >= minhash.MISS and tail - math.comb(n + 1, m) * 0.85**m * 0.15 ** (n + 1 - m) < minhash.MISS
 
 
-def test_components(spark):
+@pytest.mark.parametrize("gathered", [1 << 18, 0])  # at once and in rounds
+def test_components(spark, monkeypatch, gathered):
+    monkeypatch.setattr(components, "GATHERED", gathered)
     r = random.Random(2)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(40)]
     parent = {x: x for pair in links for x in pair}
@@ -444,7 +448,8 @@ def test_components(spark):
     for a, b in links:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    got = {g["node"]: g["root"] for g in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    odd = [(None, 5), (7, None), (3, 3), links[0], links[0]]
+    got = {g["node"]: g["root"] for g in components.components(spark.createDataFrame(links + odd, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
