@@ -260,20 +260,23 @@ def _children(parents: list[int]) -> list[list[int]]:
 
 
 _matches: dict[tuple[str, str], list[int]] = {}
+_chars = [0]
 
 
 def match(a: str, b: str) -> list[int]:
     """For each node of shape a, in preorder, the node of shape b that simple tree matching pairs it with, or -1. Matches
-    are kept for pages of one shape, MATCHES_HELD at a time."""
+    are kept for pages of one shape, MATCHES_HELD at a time and about MATCHES_CHARS of shapes."""
     if (a, b) not in _matches:
-        if len(_matches) >= MATCHES_HELD or sum(len(x) + len(y) for x, y in _matches) > MATCHES_CHARS:
-            _matches.clear()
+        if len(_matches) >= MATCHES_HELD or _chars[0] > MATCHES_CHARS:
+            forget()
         _matches[a, b] = _match(a, b)
+        _chars[0] += len(a) + len(b)
     return _matches[a, b]
 
 
 def forget() -> None:
     _matches.clear()
+    _chars[0] = 0
 
 
 def _match(a: str, b: str) -> list[int]:
