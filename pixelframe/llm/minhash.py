@@ -382,3 +382,24 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     out = flat.mapInArrow(released(unpack), shape)
     names = {id_col: "id", text_col: "packed"} | {c: f"c{i}" for i, c in enumerate(rest)}
     return out.select(*[F.col(names[c]).alias(c) for c in df.columns])
+
+
+def oracle(width: int = 3, percent: int = 85) -> str:
+    """Links by all shingles that documents share, and the least id of all that can be reached."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + {width - 1}], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS i FROM t WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(shingle)::BIGINT AS n_shingles FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), l AS (
+  SELECT p.u, p.v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL) p
+  JOIN n x ON x.doc_id = p.u JOIN n y ON y.doc_id = p.v WHERE 100 * shared >= {percent} * (x.n_shingles + y.n_shingles - shared)
+), c AS (
+  SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT l.v, c.root FROM c JOIN l ON l.u = c.node
+)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN (SELECT node, min(root) AS component_id FROM c GROUP BY node) ON node = doc_id
+"""

@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.oracle(5), "op4_sharding": sharding.oracle(SHARD_BYTES), "op5_quality": quality.oracle(), "op6_licenses": licenses.oracle(), "op10_mixing": mixing.ORACLE}
+    return {"op2_topk": topk.oracle(5), "op3_minhash": minhash.oracle(3, 85), "op4_sharding": sharding.oracle(SHARD_BYTES), "op5_quality": quality.oracle(), "op6_licenses": licenses.oracle(), "op10_mixing": mixing.ORACLE}
