@@ -5,8 +5,8 @@ ties to the lowest id; all coordinates of a centroid become its pixels' means, z
 is the one before the last update. Means are doubles, or cut to whole numbers each round (mean="int").
 
 Assignment depends on color alone, so pixels are first summed up by color (exact sums of places), and rounds run over
-distinct colors; a round is one aggregation of k rows, and k centroids are all that the driver sees. If a round changes
-nothing, the rest cannot either, and the loop ends. Up to LITERAL centroids are compared inside generated code; more go
+distinct colors. Up to ONE_TASK of them, counted, one task does all rounds in numpy; with more, a round is one aggregation
+of k rows. k centroids are all that the driver sees. If a round changes nothing, the rest cannot either, and the loop ends. Up to LITERAL centroids are compared inside generated code; more go
 through a blocked numpy function, whose memory is bounded by the block.
 
 `k_means` spreads one image over all tasks. `k_means_by_image` is for many images: each is one task's work, over its
@@ -16,9 +16,11 @@ distinct colors.
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from pixelframe.functions.pixel import color_distance
 from pixelframe.operators.per_image import by_image
 
 LITERAL = 64
+#: Distinct colors, of 48 bytes each, that one task takes for all rounds.
+ONE_TASK = 1 << 18
 COORDINATES = ("x", "y", "r", "g", "b")
 
 
@@ -94,6 +98,8 @@ def k_means(pixels: DataFrame, k: int, rounds: int, *, order: str, mean: str = "
     colors = (compact(pixels) if compacted else pixels.select("r", "g", "b", F.lit(1).alias("n"), F.col("x").cast("long").alias("sx"), F.col("y").cast("long").alias("sy"))).persist()
     done = 0
     try:
+        if rounds > 0 and colors.count() <= ONE_TASK:
+            return _in_one_task(colors, now, rounds, mean)
         for _ in range(rounds):
             before, now = now, update(colors, now, mean)
             done += 1
@@ -104,11 +110,47 @@ def k_means(pixels: DataFrame, k: int, rounds: int, *, order: str, mean: str = "
     return Result(now, before, done)
 
 
+def _rounds(colors: np.ndarray, counts: np.ndarray, totals: np.ndarray, now: np.ndarray, rounds: int, mean: str) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """(centroids, those before, rounds done, each color's cluster) from distinct colors, their pixels, and the sums of the
+    pixels' coordinates; centroids are rows of COORDINATES."""
+    chosen, before = np.empty(len(colors), np.int64), now
+    for done in range(1, rounds + 1):
+        for at in range(0, len(colors), 1024):
+            d = colors[at : at + 1024, None, :] - now[None, :, 2:]
+            chosen[at : at + 1024] = (d[..., 0] ** 2 + d[..., 2] ** 2 + d[..., 1] ** 2).argmin(1)
+        sums = np.zeros((len(now), 5), np.int64)
+        np.add.at(sums, chosen, totals)
+        members = np.zeros(len(now), np.int64)
+        np.add.at(members, chosen, counts)
+        members = np.maximum(1, members)[:, None]
+        before, now = now, (sums // members).astype(float) if mean == "int" else sums / members
+        if (now == before).all():
+            break
+    return now, before, done, chosen
+
+
+def _in_one_task(colors: DataFrame, now: list[tuple[float, ...]], rounds: int, mean: str) -> Result:
+    names = ["done", *[f"{a}{c}" for a in ("n", "b") for c in COORDINATES]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([b for b in batches if b.num_rows])
+        column = lambda c: held.column(c).to_numpy().astype(np.int64)
+        rgb, n = np.stack([column(c) for c in "rgb"], 1), column("n")
+        totals = np.concatenate([np.stack([column("sx"), column("sy")], 1), rgb * n[:, None]], 1)
+        new, old, done, _ = _rounds(rgb, n, totals, np.array(now, float), rounds, mean)
+        values = [np.full(len(new), done, float), *new.T, *old.T]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(new)), pa.int32()), *(pa.array(v, pa.float64()) for v in values)], ["cluster", *names])
+
+    rows = colors.coalesce(1).mapInArrow(run, "cluster int, " + ", ".join(f"{n} double" for n in names)).orderBy("cluster").collect()
+    side = lambda a: [tuple(r[f"{a}{c}"] for c in COORDINATES) for r in rows]
+    return Result(side("n"), side("b"), int(rows[0]["done"]))
+
+
 def k_means_by_image(pixels: DataFrame, keys: list[str], k: int, rounds: int, *, mean: str = "double", seed: int | None = None) -> DataFrame:
     """(keys, y, x, cluster, cx, cy, cr, cg, cb): each pixel's cluster, and the cluster's centroid after the last update.
     Pixels are numbered by (y, x) in their image; one with fewer than k pixels has as many centroids as pixels."""
-    if mean not in ("double", "int") or k < 1:
-        raise ValueError("mean is 'double' or 'int', and k is at least 1")
+    if mean not in ("double", "int") or k < 1 or rounds < 1:
+        raise ValueError("mean is 'double' or 'int', and there is at least one centroid and one round")
 
     def work(image: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         n = len(image["y"])
@@ -119,19 +161,8 @@ def k_means_by_image(pixels: DataFrame, keys: list[str], k: int, rounds: int, *,
         counts = np.bincount(of, minlength=len(colors))
         places = np.stack([np.bincount(of, image[c], len(colors)) for c in "xy"], 1).astype(np.int64)
         totals = np.concatenate([places, colors * counts[:, None]], 1)
-        now = np.stack([image[c][at] for c in COORDINATES], 1).astype(float)
-        chosen = np.empty(len(colors), np.int64)
-        for _ in range(rounds):
-            for b in range(0, len(colors), 1024):
-                d = colors[b : b + 1024, None, :] - now[None, :, 2:]
-                chosen[b : b + 1024] = (d[..., 0] ** 2 + d[..., 2] ** 2 + d[..., 1] ** 2).argmin(1)
-            sums = np.zeros((own, 5), np.int64)
-            np.add.at(sums, chosen, totals)
-            members = np.maximum(1, np.bincount(chosen, counts, own).astype(np.int64))[:, None]
-            new = (sums // members).astype(float) if mean == "int" else sums / members
-            if (new == now).all():
-                break
-            now = new
+        start = np.stack([image[c][at] for c in COORDINATES], 1).astype(float)
+        now, _, _, chosen = _rounds(colors, counts, totals, start, rounds, mean)
         cluster = chosen[of]
         return {"cluster": cluster} | {f"c{c}": now[cluster, i] for i, c in enumerate(COORDINATES)}
 

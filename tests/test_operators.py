@@ -118,8 +118,10 @@ def kmeans_loop(px, k, rounds, cut):
     return means, own
 
 
+@pytest.mark.parametrize("one_task", [1 << 18, 0])
 @pytest.mark.parametrize("mean", ["double", "int"])
-def test_k_means(spark, mean):
+def test_k_means(spark, monkeypatch, mean, one_task):
+    monkeypatch.setattr(kmeans, "ONE_TASK", one_task)
     rng = np.random.default_rng(3)
     px = [(int(i % 6), int(i // 6), *map(int, rng.integers(0, 4, 3) * 60)) for i in range(48)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(px)], "i int, x int, y int, r int, g int, b int")
@@ -135,7 +137,9 @@ def test_k_means(spark, mean):
     assert all((r["r"], r["g"], r["b"]) == tuple(int(v) for v in fixed.centroids[r["cluster"]][2:]) for r in painted)
 
 
-def test_k_means_with_many_centroids_and_empty_ones(spark):
+@pytest.mark.parametrize("one_task", [1 << 18, 0])
+def test_k_means_with_many_centroids_and_empty_ones(spark, monkeypatch, one_task):
+    monkeypatch.setattr(kmeans, "ONE_TASK", one_task)
     px = spark.createDataFrame([(i, i, 0, i % 5, i % 3, 0) for i in range(140)], "i int, x int, y int, r int, g int, b int")
     means, own = kmeans_loop([tuple(r)[1:] for r in px.orderBy("i").collect()], 70, 2, cut=False)
     got = kmeans.k_means(px, 70, 2, order="i")
