@@ -44,15 +44,20 @@ def narrow(v: Column, overflow: str = "wrap") -> Column:
     raise ValueError(f"overflow is 'wrap' or 'saturate', not {overflow!r}")
 
 
+def _minus(v: Column, to: Column | float) -> Column:
+    """The difference, BIGINT for whole numbers of any size, so that its square fits; fractions stay doubles."""
+    return v - (F.lit(to) + F.lit(0).cast("bigint"))
+
+
 def color_distance(r: Column, g: Column, b: Column, to: tuple) -> Column:
     """Squared distance of colors, summed in the order r, b, g so that doubles are the same each time."""
-    dr, dg, db = r - to[0], g - to[1], b - to[2]
+    dr, dg, db = _minus(r, to[0]), _minus(g, to[1]), _minus(b, to[2])
     return dr * dr + db * db + dg * dg
 
 
 def spatial_distance(x: Column, y: Column, to: tuple) -> Column:
     """Squared distance of places."""
-    dx, dy = x - to[0], y - to[1]
+    dx, dy = _minus(x, to[0]), _minus(y, to[1])
     return dx * dx + dy * dy
 
 

@@ -65,6 +65,17 @@ def test_color_functions(spark):
         pixel.narrow(F.lit(1), "clip")
 
 
+def test_squared_distances_beyond_int(spark):
+    row = spark.createDataFrame([(65535, 65535, 0, 3, 59999, 1.5)], "r int, g int, b int, x int, y int, f double")
+    r, g, b, x, y, f = (F.col(c) for c in row.columns)
+    got = row.select(
+        pixel.color_distance(r, g, b, (10, 20, 30)).alias("d"), pixel.spatial_distance(x, y, (50, 50)).alias("s"), pixel.spatial_distance(x, y, (b, b)).alias("c"),
+        pixel.color_distance(r, g, b, (0.5, 0.5, 0.5)).alias("e"), pixel.spatial_distance(f, x, (1, 1)).alias("f"), pixel.spatial_distance(F.lit(None).cast("int"), y, (50, 50)).alias("n"),
+    )
+    assert tuple(got.first()) == (65525**2 + 30**2 + 65515**2, 47**2 + 59949**2, 3**2 + 59999**2, 2 * 65534.5**2 + 0.25, 0.25 + 4.0, None)
+    assert [kind for _, kind in got.dtypes] == ["bigint", "bigint", "bigint", "double", "double", "bigint"]
+
+
 def test_histogram_is_dense_and_running_sums_agree(spark):
     h = histogram.histogram(pixels(spark, [[0, 0, 7], [255, 7, 7]]), KEYS)
     counts = {r["v"]: r["n"] for r in h.collect()}
