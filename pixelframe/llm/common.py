@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     what was computed from being computed again by later readers. `folder` is one that outlives a `scratch`."""
     path = f"{folder or _folder.get() or tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    release_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -112,6 +114,26 @@ def release() -> None:
         trim(0)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """Give memory back that the driver's JVM keeps: a heap grown beyond half of its limit is collected, which shrinks it
+    and drops the state of shuffles that are over; then what its native allocator holds free goes back to the system,
+    where the JVM can do that. Long rows of jobs with many tasks would else let both grow up to their limits together."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > heap.maxMemory() // 2:
+        jvm.java.lang.System.gc()
+    with contextlib.suppress(Py4JError):
+        strings, types, args = gateway.jvm.java.lang.String, gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        kind = jvm.java.lang.Class.forName
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = kind(name)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = gateway.new_array(jvm.java.lang.Object, 1), gateway.new_array(strings, 1)
+        args[2][0], args[3][0] = gateway.new_array(strings, 0), "[Ljava.lang.String;"
+        # by the interface's method, since the server's own class is not open to reflection
+        kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def released(run: Callable[[Iterator], Iterator], *caches: Callable[[], None]) -> Callable[[Iterator], Iterator]:
     """The function for mapInArrow, after which `caches` are emptied and memory is given back."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import bounded_arrow, by_bytes, packed, released, unpacked
+from pixelframe.llm.common import bounded_arrow, by_bytes, packed, release, released, unpacked
 
 DIMS, TRAIN_ROWS, ROUNDS, PENALTY = 1 << 13, 2000, 150, 1e-3
 MIN_EACH, MOST_LABELS = 20, 250
@@ -74,8 +74,8 @@ def features(text: str | None) -> tuple[np.ndarray, int] | None:
 
 def _machines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights, one row for each column of y, the last a constant's: least penalised squared hinge loss by accelerated
-    gradient steps. y is 1 or -1, or 0 for rows that a machine does not see; both its sides weigh the same."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    gradient steps. x has DIMS columns and one of ones; y is 1 or -1, or 0 for rows that a machine does not see; both its
+    sides weigh the same."""
     sides = [np.where(side, 0.5 / np.maximum(1, side.sum(0)), 0) for side in (y > 0, y < 0)]
     pull = ((sides[0] + sides[1]) * y).astype(np.float32)
     w = np.zeros((x.shape[1], y.shape[1]), np.float32)
@@ -220,14 +220,19 @@ def fit(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", train
     if not rows:
         return Model(None, {}, {})
     rows.sort(key=lambda r: (r["label"], r["v"]))  # the order of sums, too, is then the same in every run
-    x = np.zeros((len(rows), DIMS), np.float32)
+    x = np.zeros((len(rows), DIMS + 1), np.float32)
+    x[:, DIMS] = 1
     for i, r in enumerate(rows):
         n = len(r["v"]) // 6
         x[i, np.frombuffer(r["v"], np.uint16, n)] = np.frombuffer(r["v"][2 * n :], np.float32)
     y, n = np.array([r["label"] for r in rows], dtype=object), np.array([r["n"] for r in rows])
     family = np.array([family_of(v) for v in y], dtype=object)
+    del rows
     within = {f: Pairwise.fit(x[family == f], y[family == f]) for f in set(family.tolist())}
-    return Model(Rest.fit(x, family), within, {v: Center.fit(x[y == v], n[y == v]) for v in set(y.tolist())})
+    model = Model(Rest.fit(x, family), within, {v: Center.fit(np.ascontiguousarray(x[y == v, :DIMS]), n[y == v]) for v in set(y.tolist())})
+    del x
+    release()
+    return model
 
 
 def held_out(id_col: Column) -> Column:

@@ -58,3 +58,31 @@ def test_both_ways_of_joining(spark):
     for row_bytes in (8, 1 << 30):
         got = common.join_small(left, right, "k", "left", row_bytes).orderBy("k").collect()
         assert [r["v"] for r in got] == [0, 2, 4, None, None, None]
+
+
+def test_written_gives_the_drivers_native_memory_back(spark):
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    native = field.get(None)
+
+    def held() -> int:
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon:")) >> 10
+
+    # 1,500 pieces of 100 KB, of which every 50th stays, so that the allocator gives nothing back by itself
+    at = [native.allocateMemory(100_000) for _ in range(1500)]
+    for x in at:
+        native.setMemory(x, 100_000, 1)
+    try:
+        for i, x in enumerate(at):
+            if i % 50:
+                native.freeMemory(x)
+        before = held()
+        common.written(spark.range(3), "three")
+        assert held() < before - 60
+    finally:
+        for x in at[::50]:
+            native.freeMemory(x)
+        common.discard(spark)
